@@ -60,8 +60,8 @@ def mix(rows: DataFrame, key: F.Column, cycle: tuple = (1, 2, 3), cap: int = 3,
     gap = {s: want[s] - base[s] * sizes[s] for s in order}  # words still to take by one more copy
     cuts: list[tuple] = []  # a copy more for hashes in [from, to) and sizes of at most
     start = {s: 0 for s in order}
-    for _ in range(rounds):
-        most = {s: gap[s] / 4 if start[s] else float(sizes[s]) for s in order}
+    for k in range(rounds):
+        most = {s: gap[s] / 4 if k else float(sizes[s]) for s in order}
         ends = _boundaries(slim, {s: (start[s], most[s], gap[s]) for s in order if base[s] < cap and gap[s] > 0})
         for s, (end, taken) in ends.items():
             cuts.append((s, start[s], end, most[s]))

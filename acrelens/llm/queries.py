@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = {
     "op1_simhash_near_dedup": "op1_simhash",
+    "op2_cover_tree_near_dedup": "op2_cover_tree",
     "op3_hypergeometric_shards": "op3_shards",
     "op7_mix_sources": "op7_mix",
 }
