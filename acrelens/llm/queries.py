@@ -8,6 +8,7 @@ MODULES = {
     "op1_simhash_near_dedup": "op1_simhash",
     "op2_cover_tree_near_dedup": "op2_cover_tree",
     "op3_hypergeometric_shards": "op3_shards",
+    "op4_one_bit_search": "op4_one_bit_search",
     "op7_mix_sources": "op7_mix",
 }
 
