@@ -10,6 +10,7 @@ MODULES = {
     "op3_hypergeometric_shards": "op3_shards",
     "op4_one_bit_search": "op4_one_bit_search",
     "op7_mix_sources": "op7_mix",
+    "op10_toxicity": "op10_toxicity",
 }
 
 
