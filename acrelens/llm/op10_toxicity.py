@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -188,17 +189,18 @@ def _is_quoted(words: list[str], i: int) -> bool:
     return bool(opened and closed) or bool((opened or closed) and REPORTING & {w.strip(".,;:!?\"'") for w in before})
 
 
-def with_features(docs: DataFrame, terms: dict[str, bool], keep: str, text_col: str = "text") -> DataFrame:
-    """`docs` (the columns of the DDL `keep`, and a text) with an array of features in place of the text."""
+def features(terms: dict[str, bool]):
+    """A column function: a text's features, see FEATURES, as an array of doubles."""
 
-    def run(batches):
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton, known = Automaton(terms), {}
-        for pdf in batches:
+        for texts in batches:
             if len(known) > 500_000:  # only a cache
                 known.clear()
-            yield pdf.drop(columns=[text_col]).assign(features=[hits(t, automaton, known) for t in pdf[text_col]])
+            yield pd.Series([hits(t, automaton, known) for t in texts], dtype=object)
 
-    return docs.mapInPandas(run, f"{keep}, features array<double>")
+    return run
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -232,23 +234,26 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     sample = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(parts)) == 0)
     rows = settle(docs.select("doc_id", "text").join(sample, "doc_id"), "labelled")
     terms = learn_lexicon(rows)
-    got = with_features(rows.select("toxic", "text"), terms, "toxic int").toPandas()
-    if not len(got) or got["toxic"].nunique() < 2:
+    got = rows.select("toxic", features(terms)("text").alias("f")).toPandas()
+    if got["toxic"].nunique() < 2:
         return terms, [0.0] * len(FEATURES) + [-4.0]
-    return terms, fit_logistic(np.stack(got["features"]), got["toxic"].to_numpy(float)).tolist()
+    return terms, fit_logistic(np.stack(got["f"]), got["toxic"].to_numpy(float)).tolist()
+
 
+def score(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
+    """(row, score): each row of `docs` as a struct, whatever its columns, and the score (0 to 1) of its whole text.
 
-def score(docs: DataFrame, model: tuple, id_col: str = "doc_id") -> DataFrame:
-    """`id_col` and score (0 to 1) of every whole text. A null or empty text has no hit, and the score of such a text."""
+    A null or empty text has no hit, and the score of such a text.
+    """
     terms, w = model
-    out = with_features(docs.select(F.col(id_col).cast("long").alias(id_col), "text"), terms, f"{id_col} long")
+    out = docs.select(F.struct("*").alias("row"), features(terms)(text_col).alias("f"))
     z = F.lit(w[-1])
     for k, v in enumerate(w[:-1]):
-        z = z + F.lit(v) * F.col("features")[k]
-    return out.select(id_col, (1 / (1 + F.exp(-z))).alias("score"))
+        z = z + F.lit(v) * F.col("f")[k]
+    return out.select("row", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    out = score(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
+    return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -33,10 +33,12 @@ def shuffle_into_shards(rows: DataFrame, key_cols: list[str], shards: int = 40,
     Shard sizes are at most one apart. All randomness comes from hashes of `key_cols` and `seed`, so a task
     that is run again deals its rows alike; rows that agree in every key column are interchangeable. Nulls
     hash like any value. An empty table gives no rows. The matrix has at most most_partitions x shards
-    entries. No shard is sorted in one task: a shard has LANES lanes by the leading bits of the second
+    entries. Columns of `rows` named shard or slot give way. No shard is sorted in one task: a shard has LANES lanes by the leading bits of the second
     random key, whose sizes give each lane its first slot.
     """
-    spark = rows.sparkSession
+    spark, plain = rows.sparkSession, [c for c in rows.columns if c not in ("shard", "slot")]
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    key_cols = [f"row.{c}" for c in key_cols]
     draw = lambda salt: F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key_cols], F.lit(seed + salt))
     total = rows.count()
     parts = int(min(most_partitions, max(16, -(-total // rows_per_partition))))
@@ -55,7 +57,7 @@ def shuffle_into_shards(rows: DataFrame, key_cols: list[str], shards: int = 40,
     lanes = lanes.select("shard", "_lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from"))
     last = Window.partitionBy("shard", "_lane").orderBy("_second", *key_cols)
     out = first.withColumn("_at", F.row_number().over(last)).join(F.broadcast(lanes), ["shard", "_lane"])
-    return out.withColumn("slot", F.col("_from") + F.col("_at") - 1).drop("_lane", "_second", "_from", "_at")
+    return out.select(*[F.col(f"row.`{c}`") for c in plain], "shard", (F.col("_from") + F.col("_at") - 1).alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
