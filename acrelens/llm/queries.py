@@ -10,6 +10,7 @@ MODULES = {
     "op3_hypergeometric_shards": "op3_shards",
     "op4_one_bit_search": "op4_one_bit_search",
     "op5_html_crf": "op5_html_crf",
+    "op6_license_scan": "op6_licenses",
     "op7_mix_sources": "op7_mix",
     "op8_context_mixing_lm": "op8_mixing_lm",
     "op9_best_fit_packing": "op9_packing",
