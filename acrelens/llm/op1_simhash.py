@@ -122,11 +122,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """The rows of `docs` of which one stays for each component: the row whose id is the component's.
 
-    Rows that share that id with it stay too if their text has the same fingerprint class; a null id is
-    kept, as it can't be told apart.
+    An id names one document: of rows that repeat an id, that with the smallest text stays. Rows with a null id
+    can't be told apart and all stay. Only rows of repeated ids are shuffled with their texts.
     """
-    stay = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(stay, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    found = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id"))
+    stay = settle(found.groupBy(id_col).agg(F.count("*").alias("_n")), "stay")
+    once = docs.join(stay.where("_n = 1"), id_col, "left_semi")
+    more = docs.join(stay.where("_n > 1"), id_col, "left_semi").select(id_col, F.struct("*").alias("row"), F.col(text_col).alias("_t"))
+    more = more.groupBy(id_col).agg(F.min_by("row", F.struct(F.col("_t").isNull(), "_t")).alias("row")).select("row.*")
+    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
