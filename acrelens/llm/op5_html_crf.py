@@ -3,7 +3,7 @@
 A block is a run of text between block-level tags. Its features are its ancestors' tags and the words of
 their classes, ids and roles, and what its text looks like. The field is trained on labelled pages and decoded
 by Viterbi for each page. The labelled pages are made from a bounded sample of the table: the sample's
-own pages, labelled where their markup tells (article or main against nav, footer, advert and the like), and
+own pages, labelled where their markup tells (article or main, outside of nav, footer, names of adverts and the like), and
 their texts laid out anew with other containers and with every kind of boilerplate, where labels are known.
 """
 
@@ -35,6 +35,10 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SCOPE = frozenset("ul ol dl table article section main div nav header footer aside form blockquote body td th".split())
 #: Words of boilerplate that texts are searched for.
 SAYS = "cookie cookies subscribe newsletter advertisement sponsored comment comments reply copyright rights reserved privacy terms login sign share follow related read menu search home contact about previous next posted".split()
+#: Words of classes and ids that name page furniture.
+FURNISHED = frozenset(
+    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments commentlist cookie cookies discussion disqus footer header masthead menu modal nav navbar navigation newsletter notice alert pagination popup promo related replies reply share sharing sidebar social sponsored subscribe tags widget".split()
+)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<[a-zA-Z/!?][^<]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -260,7 +264,8 @@ def labelled_pages(pages: list[str], each: int = 4, seed: int = 9) -> list[tuple
     for own in parsed:
         tags = [{x[0] for x in b.path} for b in own]
         if any(t & {"article", "main"} for t in tags):
-            y = [int(bool(t & {"article", "main"}) and not t & {"nav", "aside", "footer", "form"}) for t in tags]
+            names = [{w for x in b.path for w in x[1]} for b in own]
+            y = [int(bool(t & {"article", "main"}) and not t & {"nav", "aside", "footer", "form"} and not n & FURNISHED) for t, n in zip(tags, names)]
             told.append([b.text for b, k in zip(own, y) if k])
             out.append((own, y))
     every = [b.text for own in parsed for b in own] or ["Lorem ipsum dolor sit amet, consectetur adipiscing elit."]
