@@ -1,0 +1 @@
+"""Crop-loss analytics on Spark."""

@@ -1,0 +1 @@
+"""Operators: DataFrame in, DataFrame out."""

@@ -1,0 +1 @@
+"""No operator of this library is a stream: all stages read complete tables."""
