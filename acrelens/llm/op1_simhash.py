@@ -125,12 +125,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     An id names one document: of rows that repeat an id, that with the smallest text stays. Rows with a null id
     can't be told apart and all stay. Only rows of repeated ids are shuffled with their texts.
     """
-    found = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id"))
-    stay = settle(found.groupBy(id_col).agg(F.count("*").alias("_n")), "stay")
-    once = docs.join(stay.where("_n = 1"), id_col, "left_semi")
-    more = docs.join(stay.where("_n > 1"), id_col, "left_semi").select(id_col, F.struct("*").alias("row"), F.col(text_col).alias("_t"))
+    found = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col).isNotNull())
+    ids = found.groupBy(id_col).agg(F.count("*").alias("_n"), F.min("component_id").alias("_c"))
+    ids = settle(ids.where(f"_n > 1 or _c <> `{id_col}`"), "gone")  # of most documents nothing is here
+    # merge: the same plan at every size; AQE splits its hot keys
+    once = docs.join(ids.select(id_col).hint("merge"), id_col, "left_anti")
+    more = docs.join(ids.where(f"_n > 1 and _c = `{id_col}`").select(id_col), id_col, "left_semi").select(id_col, F.struct("*").alias("row"), F.col(text_col).alias("_t"))
     more = more.groupBy(id_col).agg(F.min_by("row", F.struct(F.col("_t").isNull(), "_t")).alias("row")).select("row.*")
-    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
+    return once.unionByName(more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
