@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +52,11 @@ def pooled_baseline(projection: DataFrame, years: DataFrame) -> DataFrame:
 
 
 def grid(spark, **choices) -> DataFrame:
-    """All combinations of a few settings: one column for each."""
-    one = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in choices.items()]
-    return reduce(DataFrame.crossJoin, one)
+    """All combinations of a few settings: one column for each. One row is exploded, so the grid stays in one partition."""
+    out = spark.range(1, numPartitions=1)
+    for name, values in choices.items():
+        out = out.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    return out.drop("id")
 
 
 def with_variants(tasks: DataFrame, thresholds: tuple, std_multipliers: tuple, cell_sizes: tuple, offsets: tuple) -> DataFrame:

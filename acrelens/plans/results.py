@@ -232,15 +232,15 @@ def matching_configurations(spark, d):
     return evaluate.matching(exports.clean_sweep(text), "all attrs", 4, 0.1, 0.1).withColumn("id", F.col("id").cast("long"))
 
 
-@query("layers l2Reg! dropout! block allowCount n", f"""WITH sw AS ({duck(SWEEP)})
+@query("layers l2Reg! dropout! block allowCount n", f"""WITH sw AS ({duck(SWEEP)}), r AS (SELECT layers, block, "allowCount", round("l2Reg", 4) AS l2, round(dropout, 4) AS dr, count(*) AS n FROM sw GROUP BY ALL),
+    g AS (SELECT CAST(l AS INT) AS layers, l2 * 5e-2 AS l2, dr / 10e0 AS dr, b AS block FROM range(1, 7) a(l), range(0, 5) c(l2), range(0, 3) e(dr), (VALUES ('all attrs'), ('temp')) x(b))
 --
-SELECT l AS layers, l2 AS "l2Reg", dr AS dropout, b AS block, a AS "allowCount", count(sw.id) AS n FROM range(1, 7) r(l0) CROSS JOIN (VALUES (0e0), (5e-2), (10e-2), (15e-2), (20e-2)) v(l2) CROSS JOIN (VALUES (0e0), (1e-1), (2e-1)) w(dr) CROSS JOIN (VALUES ('all attrs'), ('temp')) x(b) CROSS JOIN (VALUES (CAST(1 AS INT))) y(a) CROSS JOIN LATERAL (SELECT CAST(l0 AS INT) AS l)
-LEFT JOIN sw ON sw.layers = l AND round(sw."l2Reg", 4) = round(l2, 4) AND round(sw.dropout, 4) = round(dr, 4) AND sw.block = b AND sw."allowCount" = a GROUP BY ALL""")
+SELECT g.layers, g.l2 AS "l2Reg", g.dr AS dropout, g.block, CAST(1 AS INT) AS "allowCount", coalesce(r.n, 0) AS n FROM g LEFT JOIN r ON r.layers = g.layers AND r.l2 = round(g.l2, 4) AND r.dr = round(g.dr, 4) AND r.block = g.block AND r."allowCount" = 1""")
 def sweep_grid(spark, d):
     """How often each configuration of the grid was run."""
     g = tasks.grid(spark, layers=list(range(1, 7)), l2=[0.0, 0.05, 0.1, 0.15, 0.2], drop=[0.0, 0.1, 0.2], block=["all attrs", "temp"], allowCount=[1]).withColumn("layers", F.col("layers").cast("int")).withColumn("allowCount", F.col("allowCount").cast("int"))
     runs = view(spark, d, SWEEP).groupBy("layers", "block", "allowCount", F.round("l2Reg", 4).alias("l2"), F.round("dropout", 4).alias("drop")).agg(F.count("*").alias("n"))
-    return F.broadcast(g).join(runs, ["layers", "block", "allowCount", "l2", "drop"], "left").select("layers", F.col("l2").alias("l2Reg"), F.col("drop").alias("dropout"), "block", "allowCount", F.coalesce("n", F.lit(0)).alias("n"))
+    return g.join(F.broadcast(runs), ["layers", "block", "allowCount", "l2", "drop"], "left").select("layers", F.col("l2").alias("l2Reg"), F.col("drop").alias("dropout"), "block", "allowCount", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("geohash year predictedMean! predictedStd! meanResidual! stdResidual!", None)

@@ -47,10 +47,10 @@ def duck(sql: str) -> str:
 
 def finish(df: DataFrame, columns: str) -> DataFrame:
     """The columns in their order; those with a ! are rounded, so that sums in another order compare equal."""
-    return df.select(*[(F.round(F.col(f"`{c[:-1]}`"), 6) + 0.0).alias(c[:-1]) if c.endswith("!") else F.col(f"`{c}`") for c in columns.split()])
+    return df.select(*[(F.round(F.col(f"`{c[:-1]}`"), 5) + 0.0).alias(c[:-1]) if c.endswith("!") else F.col(f"`{c}`") for c in columns.split()])
 
 
 def finish_sql(sql: str, columns: str) -> str:
-    cols = ", ".join(f'round("{c[:-1]}", 6) + 0.0::DOUBLE AS "{c[:-1]}"' if c.endswith("!") else f'"{c}"' for c in columns.split())
+    cols = ", ".join(f'round("{c[:-1]}", 5) + 0.0::DOUBLE AS "{c[:-1]}"' if c.endswith("!") else f'"{c}"' for c in columns.split())
     with_part, _, body = sql.rpartition("\n--\n")
     return f"{with_part}\nSELECT {cols} FROM (\n{body}\n)"

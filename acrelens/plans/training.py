@@ -107,14 +107,14 @@ def beta_shapes(spark, d):
 
 @query(
     "geohash year draw value!",
-    f"""WITH yp AS ({duck(YIELD_PIXELS)}), n AS (SELECT geohash, year, value, row_number() OVER (PARTITION BY geohash, year ORDER BY id) AS at FROM yp), c AS (SELECT geohash, year, count(*) AS n FROM yp GROUP BY ALL),
+    f"""WITH yp AS ({duck(YIELD_PIXELS)}), n AS (SELECT geohash, year, value, row_number() OVER (PARTITION BY geohash, year ORDER BY id, value) AS at FROM yp), c AS (SELECT geohash, year, count(*) AS n FROM yp GROUP BY ALL),
     w AS (SELECT geohash, year, CAST(draw AS INT) AS draw, ('0x' || substr(md5('draw|' || geohash || '|' || year || '|' || draw), 1, 8))::BIGINT % n + 1 AS at FROM c, range(1, 21) r(draw))
 --
 SELECT w.geohash, w.year, w.draw, n.value FROM w JOIN n ON w.geohash = n.geohash AND w.year = n.year AND w.at = n.at""",
 )
 def yield_draws(spark, d):
     """Draws with replacement (20 for each cell-year here)."""
-    return sampling.draw_values(view(spark, d, YIELD_PIXELS), ["geohash", "year"], "value", ["id"], draws=20)
+    return sampling.draw_values(view(spark, d, YIELD_PIXELS), ["geohash", "year"], "value", ["id", "value"], draws=20)
 
 
 @query(
@@ -245,22 +245,22 @@ def split_assignments(spark, d):
 
 @query(
     "geohash year mean! before yearBefore",
-    f"WITH yp AS ({duck(YIELD_PIXELS)}), ys AS ({_YEARLY})\n--\nSELECT * FROM (SELECT geohash, year, mean, round(lag(mean) OVER w, 6) AS before, lag(year) OVER w AS \"yearBefore\" FROM ys WINDOW w AS (PARTITION BY geohash ORDER BY year)) WHERE before IS NOT NULL ORDER BY year, geohash",
+    f"WITH yp AS ({duck(YIELD_PIXELS)}), ys AS ({_YEARLY})\n--\nSELECT * FROM (SELECT geohash, year, mean, round(lag(mean) OVER w, 5) AS before, lag(year) OVER w AS \"yearBefore\" FROM ys WINDOW w AS (PARTITION BY geohash ORDER BY year)) WHERE before IS NOT NULL ORDER BY year, geohash",
 )
 def year_sequences(spark, d):
     """Pairs of consecutive rows of a cell, in order."""
     out = explore.year_pairs(yearly(spark, d).select("geohash", "year", "mean"), "geohash", "year", ["mean"])
-    return out.select("geohash", "year", "mean", F.round("meanBefore", 6).alias("before"), "yearBefore").orderBy("year", "geohash")
+    return out.select("geohash", "year", "mean", F.round("meanBefore", 5).alias("before"), "yearBefore").orderBy("year", "geohash")
 
 
 @query(
     "geohash year value! latest!",
-    f"WITH yp AS ({duck(YIELD_PIXELS)})\n--\nSELECT geohash, year, arg_min(value, id) AS value, arg_max(value, id) AS latest FROM yp GROUP BY geohash, year",
+    f"WITH yp AS ({duck(YIELD_PIXELS)})\n--\nSELECT geohash, year, arg_min(value, ROW(id, value)) AS value, arg_max(value, ROW(id, value)) AS latest FROM yp GROUP BY geohash, year",
 )
 def first_and_last(spark, d):
     """First and last rows of each key by an explicit order."""
     rows = view(spark, d, YIELD_PIXELS).select("geohash", "year", "value", "id")
-    first, last = tasks.pick_one(rows, ["geohash", "year"], ["id"]), tasks.pick_one(rows, ["geohash", "year"], ["id"], last=True)
+    first, last = tasks.pick_one(rows, ["geohash", "year"], ["id", "value"]), tasks.pick_one(rows, ["geohash", "year"], ["id", "value"], last=True)
     return first.join(last.select("geohash", "year", F.col("value").alias("latest")), ["geohash", "year"])
 
 
