@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from acrelens.config import BINS
 from acrelens.functions.scalar import bin_of
@@ -59,7 +60,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> D
     return sums.select(*keys, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), F.when(ok, u).alias("u"), F.when(ok, z).alias("z"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Two-sided p of a z value (Spark has no error function)."""
     from math import erfc, sqrt
