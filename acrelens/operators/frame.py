@@ -83,7 +83,9 @@ def z_scores(long: DataFrame, distributions: DataFrame) -> DataFrame:
 
 
 def response(sample: Column, base: Column) -> Column:
-    """Struct mean, std, skew, kurtosis, complete of a sample's deltas against a baseline; no row is multiplied."""
+    """Struct mean, std, skew, kurtosis, complete of a sample's deltas against a baseline; no row is multiplied.
+
+    For samples of a bounded size, as draws are; values still in rows are summarised after scalar.delta()."""
     d = F.transform(F.filter(sample, lambda x: finite(x).isNotNull()), lambda x: delta(x, base))
     n = F.size(d).cast("double")
     power = lambda c, k: F.aggregate(d, F.lit(0.0), lambda a, x: a + F.pow(x - c, F.lit(k)))

@@ -207,12 +207,11 @@ def z_scores(spark, d):
 SELECT geohash, year, mean, std, skew, kurtosis, skew IS NOT NULL AS complete FROM (SELECT geohash, year, {_SUMMARY} FROM px GROUP BY geohash, year)""",
 )
 def responses(spark, d):
-    """Deltas of each cell-year's sample against the cell's baseline, on the array itself."""
+    """Moments of each cell-year's deltas against the cell's baseline, without gathering a group."""
     rows = view(spark, d, YIELD_PIXELS)
-    # a cell-year's sample is bounded in this library (1,000 draws); the stand-in's samples are its few pixels
-    samples = rows.groupBy("geohash", "year").agg(F.array_sort(F.collect_list("value")).alias("sample"))
-    out = samples.join(rows.groupBy("geohash").agg(F.avg("value").alias("base")), "geohash")
-    return out.select("geohash", "year", frame.response(F.col("sample"), F.col("base")).alias("r")).select("geohash", "year", "r.*")
+    base = rows.groupBy("geohash").agg(F.avg("value").alias("base"))
+    deltas = rows.join(base, "geohash").select("geohash", "year", scalar.delta(F.col("value"), F.col("base")).alias("value"))
+    return distributions.summarize(deltas, ["geohash", "year"]).withColumn("complete", F.col("skew").isNotNull())
 
 
 @query(
