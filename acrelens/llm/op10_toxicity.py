@@ -129,7 +129,7 @@ def learn_lexicon(labelled: DataFrame, most: int = 200, ratio: float = 6.0) -> d
     """Terms and stems of which marked documents (toxic = 1) hold at least `ratio` times the share of others: term -> whole word.
 
     A term needs a support of 1 % of the marked documents (2 at least, 8 suffice). The sums are grouped in Spark; only terms that pass reach the driver, at most 50 times `most`, of which nested ones give
-    way to the strongest.
+    way to the strongest, or the longest of equally strong ones. Sums are rounded, so that their order doesn't decide.
     """
 
     def emit(batches):
@@ -145,9 +145,9 @@ def learn_lexicon(labelled: DataFrame, most: int = 200, ratio: float = 6.0) -> d
     if not n.get(1) or not n.get(0):
         return {}
     support = min(8.0, max(2.0, 0.01 * n[1]))
-    sums = labelled.select("text", "toxic").mapInPandas(emit, "term string, no double, yes double").groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    sums = labelled.select("text", "toxic").mapInPandas(emit, "term string, no double, yes double").groupBy("term").agg(F.round(F.sum("no"), 6).alias("no"), F.round(F.sum("yes"), 6).alias("yes"))
     odds = (F.col("yes") / n[1]) / ((F.col("no") + 0.5) / n[0])
-    found = sums.where((F.col("yes") >= support) & (odds >= ratio)).orderBy(F.desc(F.col("yes") * F.log(odds)), F.desc(F.length("term")), "term").limit(50 * most).collect()
+    found = sums.where((F.col("yes") >= support) & (odds >= ratio)).orderBy(F.desc(F.round(F.col("yes") * F.log(odds), 6)), F.desc(F.length("term")), "term").limit(50 * most).collect()
     total = {r["term"]: r["yes"] for r in found}
     chosen: dict[str, bool] = {}
     for r in found:
