@@ -89,12 +89,12 @@ class Automaton:
         return self._close(after)
 
     def _accepts(self, states: frozenset) -> tuple:
-        """(a term or stem is complete without edits, a whole term is within its edits)."""
+        """(3: a whole term is complete without edits, 2: a stem is, else 0; and whether a whole term is within its edits)."""
         ends = [(e, *self.ends[node]) for node, e in states if node in self.ends]
-        return any(e == 0 for e, _, _ in ends), any(whole and (e == 0 or len(term) >= 5) for e, term, whole in ends)
+        return max([0, *(2 + whole for e, _, whole in ends if e == 0)]), any(whole and (e == 0 or len(term) >= 5) for e, term, whole in ends)
 
     def match(self, word: str) -> int:
-        """2: starts with a term or stem; 1: a whole term but for a few edits; 0: neither."""
+        """3: starts with a whole term; 2: starts with a stem; 1: a whole term but for a few edits; 0: neither."""
         states = self.start
         for i, c in enumerate(word):
             key = (states, c)
@@ -108,7 +108,7 @@ class Automaton:
             if got is None:
                 got = self.seen[states] = self._accepts(states)
             if got[0] and i:
-                return 2
+                return got[0]
         return int(bool(states) and self._accepts(states)[1])
 
 
@@ -160,25 +160,26 @@ def learn_lexicon(labelled: DataFrame, most: int = 200, ratio: float = 6.0) -> d
     return chosen
 
 
-FEATURES = ("share", "window", "count", "length")
-HIT, MISSPELLED, QUOTED = 1.0, 0.8, 0.2  # what a hit counts
+FEATURES = ("share", "window", "terms", "stems", "length")
+MISSPELLED, QUOTED = 0.8, 0.2  # what such a hit counts, others count 1
 
 
 def hits(text: str | None, automaton: Automaton, known: dict) -> list[float]:
     """Features of a text, see FEATURES: the hits' share of its words, the most in a window, and logs of counts."""
     words = (text or "").lower().split()
-    total = window = 0.0
+    total = window = stems = 0.0
     last: list[tuple[int, float]] = []
     for i, w in enumerate(words):
         kind = known.get(w)
         if kind is None:
             kind = known[w] = automaton.match(bare(w))
         if kind:
-            weight = QUOTED if _is_quoted(words, i) else HIT if kind == 2 else MISSPELLED
+            weight = QUOTED if _is_quoted(words, i) else MISSPELLED if kind == 1 else 1.0
+            stems += weight * (kind == 2)
             last = [x for x in last if i - x[0] < WINDOW] + [(i, weight)]
             total, window = total + weight, max(window, sum(x[1] for x in last))
     share = min(3.0, total / (DENSE * max(len(words), 1)))
-    return [share, float(np.log1p(window)), float(np.log1p(total)), float(np.log1p(len(words))) / 5 if total else 0.0]
+    return [share, float(np.log1p(window)), float(np.log1p(total - stems)), float(np.log1p(stems)), float(np.log1p(len(words))) / 5 if total else 0.0]
 
 
 def _is_quoted(words: list[str], i: int) -> bool:
