@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from acrelens.config import ATTRIBUTES, MONTHS
 from acrelens.functions import geo, scalar
 from acrelens.operators import distributions, explore, frame, gates, sampling, tasks
 from acrelens.plans.standins import PIXELS, POINTS, YIELD_PIXELS, duck, given, view
@@ -160,9 +161,22 @@ def frame_wide(spark, d):
     return frame.widen(long_frame(spark, d))
 
 
-def _fields(spark, d):
-    wide = frame.widen(long_frame(spark, d), ("rhx", "tmax"), range(1, 7))
-    return frame.lengthen(wide, ["geohash", "year"], [f"{a}Mean{m}" for a in ("rhx", "tmax") for m in range(1, 7)] + ["yieldMean"])
+_YIELDS, _COUNTS = ("yieldMean", "yieldStd", "baselineYieldMean", "baselineYieldStd"), ("climateCounts", "yieldObservations")
+_SLICE = [f"{a}Mean{m}" for a in ("rhx", "tmax") for m in range(1, 7)] + ["yieldMean"]  # what the SQL of the four queries covers
+
+
+def _fields(spark, d, also: tuple = ()):
+    """All 484 fields of the frame as rows (geohash, year, field, value), long from the start: 8 attributes, 12 months, 5 statistics, 4 of yields."""
+    long = long_frame(spark, d)
+    known = long.where(F.col("attr").isin(*ATTRIBUTES.values()) & F.col("month").between(MONTHS[0], MONTHS[-1]))
+    stats = F.explode(F.array(*[F.struct(F.concat("attr", F.lit(c.capitalize()), F.col("month").cast("string")).alias("field"), F.col(f"c_{c}").cast("double").alias("value")) for c in frame.STATS]))
+    rows = long.select("geohash", "year", *_YIELDS, *also).distinct()
+    rest = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in (*_YIELDS, *also)]))
+    return known.select("geohash", "year", stats.alias("f")).unionByName(rows.select("geohash", "year", rest.alias("f"))).select("geohash", "year", "f.*")
+
+
+def _sliced(df):
+    return df.where(F.col("field").isin(*_SLICE))
 
 
 _LONG = _CTE + ", lf AS (SELECT geohash, year, attr || 'Mean' || month AS field, v AS value FROM fr WHERE attr IN ('rhx', 'tmax') AND month <= 6 UNION ALL SELECT DISTINCT geohash, year, 'yieldMean', ym FROM fr)"
@@ -170,8 +184,14 @@ _LONG = _CTE + ", lf AS (SELECT geohash, year, attr || 'Mean' || month AS field,
 
 @query("geohash field mean!", _LONG + "\n--\nSELECT geohash, field, avg(value) AS mean FROM lf WHERE value IS NOT NULL GROUP BY ALL")
 def historic_averages(spark, d):
-    """P2, D11, B2."""
-    return frame.averages(_fields(spark, d))
+    """The fields of the SQL, out of historic_averages_all."""
+    return _sliced(historic_averages_all(spark, d))
+
+
+@query("geohash field mean!", None)
+def historic_averages_all(spark, d):
+    """All fields, counts too (no SQL: tests hold it against the pivoted frame)."""
+    return frame.averages(_fields(spark, d, _COUNTS))
 
 
 @query(
@@ -179,14 +199,30 @@ def historic_averages(spark, d):
     _LONG + ", av AS (SELECT geohash, field, avg(value) AS mean FROM lf GROUP BY ALL)\n--\nSELECT l.geohash, l.year, l.field, l.value - a.mean AS value FROM lf l JOIN av a ON l.geohash = a.geohash AND l.field = a.field WHERE l.value IS NOT NULL",
 )
 def field_deltas(spark, d):
-    """J3."""
+    """The fields of the SQL."""
+    return _sliced(_deltas(spark, d))
+
+
+@query("geohash year field value!", None)
+def field_deltas_all(spark, d):
+    """All fields that deltas are taken of, as neither counts nor yields are (no SQL: tests hold it against the pivoted frame)."""
+    return _deltas(spark, d).where(~F.col("field").isin(*_YIELDS) & ~F.lower("field").contains("count"))
+
+
+def _deltas(spark, d):
     long = _fields(spark, d)
     return frame.field_deltas(long, frame.averages(long)).where("value is not null")
 
 
 @query("field mean! std!", _LONG + "\n--\nSELECT field, avg(value) AS mean, stddev_samp(value) AS std FROM lf WHERE value IS NOT NULL GROUP BY field")
 def field_distributions(spark, d):
-    """D15."""
+    """The fields of the SQL, out of field_distributions_all."""
+    return _sliced(field_distributions_all(spark, d))
+
+
+@query("field mean! std!", None)
+def field_distributions_all(spark, d):
+    """All 484 fields (no SQL: tests hold it against the pivoted frame)."""
     return frame.field_distributions(_fields(spark, d))
 
 
@@ -195,7 +231,13 @@ def field_distributions(spark, d):
     _LONG + ", di AS (SELECT field, avg(value) AS mean, stddev_samp(value) AS std FROM lf GROUP BY field)\n--\nSELECT l.geohash, l.year, l.field, (l.value - d.mean) / d.std AS z FROM lf l JOIN di d ON l.field = d.field WHERE l.value IS NOT NULL",
 )
 def z_scores(spark, d):
-    """Without the sentinel rows, which hold what the wide frame lacks."""
+    """The fields of the SQL, out of z_scores_all."""
+    return _sliced(z_scores_all(spark, d))
+
+
+@query("geohash year field z!", None)
+def z_scores_all(spark, d):
+    """All 484 fields, without the sentinel rows, which hold what the wide frame lacks (no SQL: tests hold it against the pivoted frame)."""
     long = _fields(spark, d)
     return frame.z_scores(long, frame.field_distributions(long)).where("z <> -999")
 

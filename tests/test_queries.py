@@ -5,9 +5,12 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from acrelens.operators import frame
+from acrelens.plans import training
 from acrelens.plans.standins import TABLES
 
 SMALL = "/root/testdata/sf0.001"
@@ -43,3 +46,25 @@ def test_runs_alike(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_all_fields_of_the_frame(spark):
+    wide = frame.widen(training.long_frame(spark, SMALL)).toPandas()
+    names = [c for c in wide.columns if c not in ("geohash", "year", "climateCounts", "yieldObservations")]
+    assert len(names) == 484
+    long = wide.melt(["geohash", "year"], names, "field").astype({"value": float}).dropna()
+    assert {"chirpsMean7", "chirpsCount12", "tmaxStd9"} <= set(long["field"])
+    run = lambda name: entry.queries()[name](spark, SMALL).toPandas()
+    same = lambda got, want: pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False, atol=2e-5)
+    every = wide.melt(["geohash", "year"], [*names, "climateCounts", "yieldObservations"], "field").astype({"value": float}).dropna()
+    same(run("historic_averages_all").set_index(["geohash", "field"])["mean"], every.groupby(["geohash", "field"])["value"].mean())
+    di, by = run("field_distributions_all").set_index("field"), long.groupby("field")["value"]
+    same(di["mean"], by.mean())
+    same(di["std"], by.std())
+    own = long[~long["field"].str.contains("count", case=False) & ~long["field"].str.contains("yield", case=False)]
+    less = own["value"] - own.groupby(["geohash", "field"])["value"].transform("mean")
+    same(run("field_deltas_all").set_index(["geohash", "year", "field"])["value"], less.set_axis(pd.MultiIndex.from_frame(own[["geohash", "year", "field"]])))
+    z = run("z_scores_all")
+    assert set(z["field"]) > set(training._SLICE) and not z.duplicated(["geohash", "year", "field"]).any()
+    both = z.merge(long.assign(z0=(long["value"] - by.transform("mean")) / by.transform("std")), on=["geohash", "year", "field"])
+    assert len(both) == len(z) == long["field"].map(by.std() > 0).sum() and (both["z"] - both["z0"]).abs().max() < 2e-5
