@@ -114,10 +114,16 @@ def beta_shapes(spark, d):
 SELECT w.geohash, w.year, w.draw, n.value FROM w JOIN n ON w.geohash = n.geohash AND w.year = n.year AND w.at = n.at""",
 )
 def yield_draws(spark, d):
-    """Draws with replacement (20 for each cell-year here)."""
+    """The first 20 draws of yield_draws_all, which the SQL has."""
     return sampling.draw_values(view(spark, d, YIELD_PIXELS), ["geohash", "year"], "value", ["id", "value"], draws=20)
 
 
+@query("geohash year draw value!", None)
+def yield_draws_all(spark, d):
+    """All 1,000 draws with replacement for each cell-year (no SQL: a test draws by brute force)."""
+    return sampling.draw_values(view(spark, d, YIELD_PIXELS), ["geohash", "year"], "value", ["id", "value"])
+
+
 @query(
     "variable condition date name",
     f"""WITH y AS (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS year FROM lineitem), v(variable) AS (VALUES ('RHx'), ('chirps-v2')), c(condition) AS (VALUES ('2030_SSP245'), ('2050_SSP245'), ('observations'))

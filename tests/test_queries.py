@@ -1,6 +1,7 @@
 """Queries of the driver's contract against their SQL, on the smallest tables."""
 
 import datetime
+import hashlib
 import math
 import os
 
@@ -11,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from acrelens.operators import frame
 from acrelens.plans import training
-from acrelens.plans.standins import TABLES
+from acrelens.plans.standins import TABLES, YIELD_PIXELS, view
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data here")
@@ -68,3 +69,12 @@ def test_all_fields_of_the_frame(spark):
     assert set(z["field"]) > set(training._SLICE) and not z.duplicated(["geohash", "year", "field"]).any()
     both = z.merge(long.assign(z0=(long["value"] - by.transform("mean")) / by.transform("std")), on=["geohash", "year", "field"])
     assert len(both) == len(z) == long["field"].map(by.std() > 0).sum() and (both["z"] - both["z0"]).abs().max() < 2e-5
+
+
+def test_all_draws_of_yields(spark):
+    rows = view(spark, SMALL, YIELD_PIXELS).toPandas().sort_values(["id", "value"])
+    pools = {k: g["value"].tolist() for k, g in rows.groupby(["geohash", "year"])}
+    at = lambda g, y, i: int(hashlib.md5(f"draw|{g}|{y}|{i}".encode()).hexdigest()[:8], 16)
+    want = sorted((g, y, i, round(float(v[at(g, y, i) % len(v)]), 5)) for (g, y), v in pools.items() for i in range(1, 1001))
+    got = entry.queries()["yield_draws_all"](spark, SMALL).toPandas()
+    assert sorted(map(tuple, got.astype({"value": float}).itertuples(index=False))) == want
