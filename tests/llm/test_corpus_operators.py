@@ -316,22 +316,36 @@ def edits(a, b):
 
 
 def test_automaton():
-    terms = {"moron": True, "clown": True, "scum": True, "achlich": False}
+    terms = {"moron": True, "clown": True, "scum": True, "achlich": False, "worthless": True}
     automaton, rng = op10_toxicity.Automaton(terms), np.random.default_rng(1)
-    words = ["moron", "morons", "mron", "moronn", "morno", "scun", "scums", "achlichbar", "achlibar", "clwn", "crown", "m", ""]
+    words = ["moron", "morons", "mron", "moronn", "morno", "xoron", "noron", "scun", "scums", "achlichbar", "achlibar", "bchlichbar", "wrthlss", "vorthles", "wothlesss", "clwn", "crown", "m", ""]
     words += ["".join(rng.choice(list("morncwlsua"), rng.integers(1, 8))) for _ in range(400)] + ["mo" + "".join(rng.choice(list("mornx"), 3)) for _ in range(200)]
     for w in words:
         starts = max([0, *(2 + whole for t, whole in terms.items() if w.startswith(t))])
-        near = any(whole and len(t) >= 5 and w[:1] == t[0] and edits(w[1:], t[1:]) <= 1 for t, whole in terms.items())
-        assert automaton.match(w) == (starts or int(near)), w
+        within = lambda t: op10_toxicity.allowed_edits(t)
+        near = any(edits(w, t) <= within(t) for t, whole in terms.items()) or any(edits(w[:k], t) <= within(t) for t, whole in terms.items() if not whole for k in range(len(w) + 1))
+        got = automaton.match(w)
+        assert (got[1] if got else 0) == (starts or int(near)), w
     assert op10_toxicity.bare("(M0RON!!)".lower()) == "moron" and op10_toxicity.bare("***") == ""
 
 
 def test_quotation():
     a = op10_toxicity.Automaton({"moron": True})
-    share = lambda t: op10_toxicity.hits(t, a, {})[0]
+    evidence = lambda t: op10_toxicity.weigh(op10_toxicity.hits(t, a, {}), {(0, 3): 5.0, (0, 1): 2.0}, 0.02)[0]
     rest = " word" * 200
-    assert share("you are a moron and a fool" + rest) > share('he said " moron " to them' + rest) > 0 == share("" + rest)
+    assert evidence("you are a moron and a fool" + rest) == 5.0 > evidence("you are a noron" + rest) == 2.0 > evidence('he said " moron " to them' + rest) == 1.0 > 0 == evidence("" + rest)
+
+
+def test_evidence_is_that_of_the_best_window():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        at = np.sort(rng.choice(300, rng.integers(1, 9), replace=False)).tolist()
+        w, drift = {(0, 3): 2.5, (1, 1): 0.7}, float(rng.choice([0.0, 0.02, 0.2]))
+        found = [(i, int(k), 3 - 2 * int(k), False) for i, k in zip(at, rng.integers(0, 2, len(at)))]
+        spans = [sum(w[f[1], f[2]] for f in found[i : j + 1]) - drift * (found[j][0] - found[i][0]) for i in range(len(at)) for j in range(i, len(at))]
+        assert abs(op10_toxicity.weigh(found, w, drift)[0] - max(spans)) < 1e-9
+        more = found + [(at[-1] + 400, 1, 1, False)]
+        assert op10_toxicity.weigh(more, w, drift)[0] >= op10_toxicity.weigh(found, w, drift)[0]
 
 
 def toxic_tables(spark, n=240):
@@ -357,6 +371,14 @@ def test_toxicity(spark):
     assert len(got) == 244 and all(0 <= v <= 1 for v in got.values())
     assert all((v >= 0.3) == (k % 4 == 0) for k, v in got.items() if k is not None and k < 240)
     assert got[902] >= 0.3 and got[900] == got[901] < 0.3
+    rng, held, right, wrong = np.random.default_rng(3), [], 0, 0
+    for i, n in enumerate([50, 200, 1000, 5000, 20_000] * 6):  # a toxic passage in texts of all lengths; the text alone; one misspelled
+        clean, passage = prose(rng, n).split(), prose(rng, 40).split()
+        passage[5], passage[9] = "grotfel,", "Snivlak"
+        held += [(3 * i, " ".join(clean[: n // 2] + passage + clean[n // 2 :])), (3 * i + 1, " ".join(clean)), (3 * i + 2, " ".join(["you gr0tfal sn1vlek"] + clean))]
+    marked = {r["row"]["doc_id"]: r["score"] for r in op10_toxicity.score(spark.createDataFrame(held, "doc_id long, text string"), model).collect()}
+    assert all((marked[i] >= 0.3) == (i % 3 != 1) for i in marked), marked
+    assert min(v for i, v in marked.items() if i % 3 != 1) > max(v for i, v in marked.items() if i % 3 == 1) == got[901]
     blank = op10_toxicity.train(empty(spark), labels.where("false"))
     assert op10_toxicity.score(empty(spark), blank).count() == 0
 
