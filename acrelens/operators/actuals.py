@@ -37,7 +37,7 @@ def require_years(yearly: DataFrame, years: list[int]) -> DataFrame:
     return yearly
 
 
-def unit_sizes(raw: DataFrame, acres: str = "coverageAcres") -> DataFrame:
+def unit_sizes(raw: DataFrame, acres: str = "acres") -> DataFrame:
     """crop, policyType, unitType, coverageAcres, coveragePixels of corn under yield and revenue protection with any coverage."""
     rows = raw.where(F.col("crop").isin("Corn") & F.col("policyType").isin("YP", "RP")).withColumn("coverageAcres", F.col(acres).try_cast("double"))
     return rows.where("coverageAcres > 0").select("crop", "policyType", "unitType", "coverageAcres", (F.col("coverageAcres") * ACRES_TO_PIXELS).alias("coveragePixels"))

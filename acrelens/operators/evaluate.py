@@ -65,7 +65,7 @@ def matching(sweep: DataFrame, block: str, layers: int, l2: float, dropout: floa
     return sweep.where((F.col("allowCount") == 1) & (F.col("block") == block) & (F.col("layers") == layers) & near("l2Reg", l2) & near("dropout", dropout))
 
 
-def fit_linear(df: DataFrame, features: list[str], targets: dict[str, str], weight: str) -> dict[str, tuple[list[float], float]]:
+def fit_linear(df: DataFrame, features: list[str], targets: dict[str, str], weight: str, ridge: float = 0.0) -> dict[str, tuple[list[float], float]]:
     """A weighted linear model for each output: name -> (coefficients, intercept). Fitted by Spark."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
@@ -73,7 +73,7 @@ def fit_linear(df: DataFrame, features: list[str], targets: dict[str, str], weig
     rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.dropna(subset=[*features, *targets.values(), weight]))
     out = {}
     for name, target in targets.items():
-        model = LinearRegression(featuresCol="_x", labelCol=target, weightCol=weight, regParam=1e-6).fit(rows)
+        model = LinearRegression(featuresCol="_x", labelCol=target, weightCol=weight, regParam=ridge, solver="normal").fit(rows)
         out[name] = (model.coefficients.toArray().tolist(), float(model.intercept))
     return out
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from acrelens.config import BINS
 from acrelens.functions.geo import center
 from acrelens.functions.scalar import finite, is_counterfactual, near, quantised, series_condition, series_year
-from acrelens.operators.gates import GateError
 
 
 def in_scope(threshold: float | None = None, cell_size: int = 4, historic: bool = False, unit_column: str = "unitSize") -> Column:
@@ -29,7 +28,7 @@ def pair(outcomes: DataFrame, families: DataFrame, check: bool = True) -> DataFr
     """One row for each cell, year, condition and threshold: predicted and counterfactual figures side by side.
 
     A grouped conditional maximum pairs them in one exchange; what has no partner keeps nulls. Two rows of one kind
-    are an error (GateError), which `check` looks for. `families` has a row for each series.
+    are an error, which the job raises with `check`. `families` has a row for each series.
     """
     other = is_counterfactual(F.col("series"))
     rows = outcomes.join(F.broadcast(families), "series").withColumn("condition", series_condition(F.col("series"))).withColumn("_cf", other)
@@ -42,8 +41,9 @@ def pair(outcomes: DataFrame, families: DataFrame, check: bool = True) -> DataFr
         ours(F.col("p")).alias("p"), ours(F.col("p") < 0.05 / F.col("familySize")).alias("pMeets0.05n"), ours(F.col("p") < 0.10 / F.col("familySize")).alias("pMeets0.10n"),
         ours(F.col("predictedChange")).alias("predictedMean"), theirs(F.col("predictedChange")).alias("counterfactualMean"),
     )
-    if check and (bad := out.where("_n > 1 or _m > 1").select(*keys).first()):
-        raise GateError(f"more than one row of a kind: {bad.asDict()}")
+    if check:
+        bad = F.raise_error(F.concat(F.lit("more than one row of a kind: "), F.to_json(F.struct(*keys))))
+        out = out.withColumn("num", F.when((F.col("_n") > 1) | (F.col("_m") > 1), bad).otherwise(F.col("num")))
     return out.drop("_n", "_m").withColumnRenamed("threshold", "lossThreshold")
 
 

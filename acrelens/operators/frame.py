@@ -12,10 +12,9 @@ from acrelens.operators.distributions import with_baseline
 STATS = ("mean", "std", "min", "max", "count")
 
 
-def restrict(df: DataFrame, cells: DataFrame, key: str = "geohash", broadcast_below: int = 2_000_000) -> DataFrame:
-    """Rows of the wanted cells. The list is broadcast only if a count shows that it is small."""
-    cells = cells.select(key).distinct()
-    return df.join(F.broadcast(cells) if cells.count() <= broadcast_below else cells, key, "left_semi")
+def restrict(df: DataFrame, cells: DataFrame, key: str = "geohash") -> DataFrame:
+    """Rows of the wanted cells. How the list travels is left to adaptive execution, which knows its size."""
+    return df.join(cells.select(key).distinct(), key, "left_semi")
 
 
 def combine(yields: DataFrame, climate: DataFrame) -> DataFrame:

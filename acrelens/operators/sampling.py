@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acrelens.config import SUBUNITS
+from acrelens.config import PIXELS_PER_ROW, SUBUNITS
 from acrelens.functions.scalar import hash_int
 
 
@@ -64,12 +64,31 @@ def draw_units(tasks: DataFrame, keys: list[str], observations: str, sizes: list
     Enough units are drawn for the least size, the running sum keeps those that begin before the observations end. `sizes` is
     the published list of unit sizes, which is short.
     """
-    arr, least = F.array(*[F.lit(float(s)) for s in sizes]), float(min(sizes))
-    drawn = tasks.where(F.col(observations) > 0).select(*keys, observations, F.explode(F.sequence(F.lit(1), F.ceil(F.col(observations) / least).cast("int"))).alias("unit"))
-    size = F.get(arr, (hash_int(F.lit(salt), *[F.col(k) for k in keys], F.col("unit")) % len(sizes)).cast("int"))
-    drawn = drawn.withColumn("unitSize", size)
-    before = F.coalesce(F.sum("unitSize").over(Window.partitionBy(*keys).orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return drawn.withColumn("_before", before).where(F.col("_before") < F.col(observations)).select(*keys, "unit", "unitSize")
+    arr = F.array(*[F.lit(float(s)) for s in sizes])
+    return _until_used(tasks, keys, F.col(observations), arr, F.lit(float(min(sizes))), lambda size: size, salt).select(*keys, "unit", "unitSize")
+
+
+def draw_scaled_units(tasks: DataFrame, keys: list[str], observations: str, sizes: DataFrame, scaler: float = PIXELS_PER_ROW, cell_size: str = "geohashSimSize", salt: str = "unit") -> DataFrame:
+    """Units as trials draw them: all columns of the task, unit, unitSize, pixels (a scaled size, rounded up) and num.
+
+    num is the task's observations over the scaler; for the longer geohash it is that of one subunit, rounded half to even, and unit
+    sizes are divided as well. Tasks without num have no units. `sizes` is one row with the array unitSizes, the published list.
+    """
+    sub = F.col(cell_size) == 5
+    scaled = F.col(observations) / F.lit(float(scaler))
+    rows = tasks.withColumn("num", F.when(sub, F.bround(scaled / SUBUNITS)).otherwise(scaled)).crossJoin(F.broadcast(sizes))
+    pixels = lambda size: F.ceil(size * F.when(sub, F.lit(1.0 / SUBUNITS)).otherwise(F.lit(1.0)) / F.lit(float(scaler)))
+    out = _until_used(rows, keys, F.col("num"), F.col("unitSizes"), F.lit(1.0), pixels, salt)
+    return out.withColumn("unitSize", F.when(sub, F.col("unitSize") / SUBUNITS).otherwise(F.col("unitSize"))).withColumnRenamed("taken", "pixels").drop("unitSizes")
+
+
+def _until_used(tasks: DataFrame, keys: list[str], budget: Column, sizes: Column, least: Column, taken, salt: str) -> DataFrame:
+    """The tasks' rows with unit, unitSize and what it takes of the budget, while the budget lasts."""
+    drawn = tasks.where(budget > 0).withColumn("unit", F.explode(F.sequence(F.lit(1), F.ceil(budget / least).cast("int"))))
+    size = F.get(sizes, (hash_int(F.lit(salt), *[F.col(k) for k in keys], F.col("unit")) % F.size(sizes)).cast("int"))
+    drawn = drawn.withColumn("unitSize", size).withColumn("taken", taken(F.col("unitSize")))
+    before = F.coalesce(F.sum("taken").over(Window.partitionBy(*keys).orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return drawn.withColumn("_before", before).where(F.col("_before") < budget).drop("_before")
 
 
 def apply_offset(policy: Column, value: Column, offset: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrelens.operators.distributions import pool
@@ -72,6 +72,7 @@ def with_std_threshold(df: DataFrame, equivalents: DataFrame) -> DataFrame:
 
 
 def pick_one(df: DataFrame, keys: list[str], order: list, last: bool = False) -> DataFrame:
-    """The first (or last) row of each key, by an explicit order."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) if last else F.asc(c) for c in order])
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """The first (or last) row of each key, by an explicit order: one grouped minimum, combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    pick = (F.max_by if last else F.min_by)(F.struct(*rest), F.struct(*order))
+    return df.groupBy(*keys).agg(pick.alias("_row")).select(*[c if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from acrelens.config import BINS, CELL_SIZES, LEVELS, OFFSETS, STD_MULTIPLIERS, THRESHOLDS
 from acrelens.functions import geo, scalar
 from acrelens.operators import actuals, distributions, evaluate, explore, exports, outcomes, sampling, stats, tasks, trials
-from acrelens.plans.standins import BUSINESS, DELTAS, OUTCOMES, POINTS, PREDICTIONS, SWEEP, YIELD_PIXELS, duck, given, view
-from acrelens.plans.training import _CTE, _cell_sql, monthly
+from acrelens.plans.standins import BUSINESS, DELTAS, OUTCOMES, PIXELS, POINTS, PREDICTIONS, SWEEP, UNITS, YIELD_PIXELS, duck, given, view
+from acrelens.plans.training import _CTE, _DAILY, _MONTHLY, _cell_sql, monthly
 from acrelens.sources.tables import as_record
 
 Q: dict = {}
@@ -104,28 +104,94 @@ def unit_draws(spark, d):
     return sampling.draw_units(built(spark, d), ["geohash", "year"], "numObservations", list(_SIZES))
 
 
+_POLICIES, _SCALER = ("always", "never", "negative"), 4.0
+_TRIAL = ["geohash", "year", "threshold", "geohashSimSize", "offsetBaseline"]
+
+
+def unit_size_list(spark, d):
+    """The list of unit sizes that trials draw from: the distinct cleaned sizes."""
+    return actuals.unit_sizes(view(spark, d, UNITS)).agg(F.sort_array(F.collect_set("coveragePixels")).alias("unitSizes"))
+
+
+def test_residuals(spark, d):
+    """Residuals of the later years, where a cell's year is predicted by the mean of the year."""
+    rel = relative(spark, d)
+    year = rel.groupBy("year").agg(F.avg("yieldMean").alias("predictedMean"), F.avg("yieldStd").alias("predictedStd"))
+    return evaluate.residuals(rel.join(year, "year")).withColumn("setAssign", sampling.temporal_split(F.col("year") + 15)).where("setAssign = 'test'")
+
+
 def simulated(spark, d):
-    units = sampling.draw_units(built(spark, d), ["geohash", "year"], "numObservations", list(_SIZES))
-    return trials.simulate_units(units.join(built(spark, d), ["geohash", "year"]).withColumn("offsetBaseline", F.lit("always")), ["geohash", "year"], [(0.02, 0.01), (-0.01, 0.02), (0.03, -0.02)])
+    variants = tasks.with_variants(built(spark, d), THRESHOLDS, STD_MULTIPLIERS, CELL_SIZES, _POLICIES)
+    variants = tasks.with_std_threshold(variants, tasks.std_equivalents(relative(spark, d), [0.25, 0.15]))
+    units = sampling.draw_scaled_units(variants, _TRIAL, "numObservations", unit_size_list(spark, d), _SCALER)
+    return trials.simulate_units(units, _TRIAL, trials.residual_pool(test_residuals(spark, d)))
+
+
+def _md5_sql(k: int) -> str:
+    return f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+
+
+_Z1, _Z2 = (f"sqrt(-2 * ln(({_md5_sql(0)} + 0.5::DOUBLE) / 4294967296e0)) * {f}(({_md5_sql(1)} + 0.5::DOUBLE) / 4294967296e0 * (2 * pi()))" for f in ("cos", "sin"))
+_KEY = "geohash || '|' || year || '|' || threshold || '|' || size || '|' || policy || '|' || unit || '|' || "
+_MOVED = f"rm[{_md5_sql(2)} % len(rm) + 1] AS dm, rs[{_md5_sql(3)} % len(rs) + 1] AS ds"
+_ERFC = lambda z: "(SELECT t * exp(-x * x + " + " + t * (".join(f"({c})" for c in outcomes.ERFC) + ")" * (len(outcomes.ERFC) - 1) + f") FROM (SELECT abs({z}) / sqrt(2e0) AS x, 1 / (1 + abs({z}) / sqrt(2e0) / 2) AS t))"
+_UNIT_SQL = "sz AS (SELECT list_sort(list(DISTINCT px)) AS l FROM (" + "SELECT acres * (17564481 / 3906250e0) AS px FROM units WHERE crop = 'Corn' AND \"policyType\" IN ('YP', 'RP') AND acres > 0))"
+_SIMULATED = f"""{_TASKS}, {_EQUIVALENT}, units AS ({duck(UNITS)}), {_UNIT_SQL},
+    yr AS (SELECT year, avg(ym) AS m, avg(ys) AS s FROM fr GROUP BY year), pool AS (SELECT list_sort(list(round(yr.m - ym, 9))) AS rm, list_sort(list(round(yr.s - ys, 9))) AS rs FROM fr JOIN yr USING (year) WHERE fr.year + 15 >= 2014),
+    v AS (SELECT ta.*, t AS threshold, c AS size, o AS policy, std, CASE WHEN c = 5 THEN round_even(n / 4e0 / 32, 0) ELSE n / 4e0 END AS num FROM ta, (VALUES (25e-2), (15e-2)) v(t), (VALUES (CAST(4 AS INT)), (5)) w(c), (VALUES ('always'), ('never'), ('negative')) x(o) JOIN eq ON round(level, 2) = round(t, 2)),
+    u AS (SELECT v.*, unit, ceil(l[('0x' || substr(md5('unit|' || geohash || '|' || year || '|' || threshold || '|' || size || '|' || policy || '|' || unit), 1, 8))::BIGINT % len(l) + 1] * CASE WHEN size = 5 THEN 1 / 32e0 ELSE 1e0 END / 4e0)::BIGINT AS px FROM v, sz, LATERAL (SELECT unnest(range(1, CAST(ceil(num) AS BIGINT) + 1)) AS unit) WHERE num > 0),
+    s AS (SELECT * FROM (SELECT *, coalesce(sum(px) OVER (PARTITION BY geohash, year, threshold, size, policy ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u) WHERE before < num),
+    dr AS (SELECT s.*, kind, md5('trial|' || {_KEY} kind || '|' || i) AS h FROM s, (VALUES ('pixel'), ('history'), ('adaptedHistory')) k(kind), LATERAL (SELECT unnest(range(1, CASE WHEN kind = 'pixel' THEN px ELSE 10 END + 1)) AS i)),
+    mo AS (SELECT dr.*, {_Z1} AS z1, {_Z2} AS z2, {_MOVED} FROM dr, pool),
+    g AS (SELECT geohash, year, threshold, size, policy, unit, any_value(om) AS om, any_value(os * std) AS level, avg(pm - dm + (ps - ds) * z1) FILTER (kind = 'pixel') AS p, avg(pm - dm + (ps - ds) + (ps - ds) * z2) FILTER (kind = 'pixel') AS a, avg(om - dm + (os - ds) * z1) FILTER (kind = 'history') AS ep, avg(om - dm + (os - ds) * z1) FILTER (kind = 'adaptedHistory') AS ea FROM mo GROUP BY ALL),
+    de AS (SELECT *, round(greatest(-1e0, p - CASE WHEN policy = 'always' OR (policy = 'negative' AND om < 0) THEN ep ELSE 0 END), 9) AS dp, round(greatest(-1e0, om), 9) AS db, round(greatest(-1e0, a - CASE WHEN policy = 'always' OR (policy = 'negative' AND om < 0) THEN ea ELSE 0 END), 9) AS da FROM g),
+    lo AS (SELECT geohash, year, threshold, size, policy, d, count(*) FILTER (k = 'p') AS np, count(*) FILTER (k = 'b') AS nb, count(*) FILTER (k = 'a') AS na FROM (SELECT *, unnest([dp, db, da]) AS d, unnest(['p', 'b', 'a']) AS k FROM de) GROUP BY ALL),
+    rk AS (SELECT *, coalesce(sum(np + nb) OVER w, 0) + (np + nb + 1) / 2e0 AS rb, coalesce(sum(np + na) OVER w, 0) + (np + na + 1) / 2e0 AS ra FROM lo WINDOW w AS (PARTITION BY geohash, year, threshold, size, policy ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    uu AS (SELECT geohash, year, threshold, size, policy, CAST(sum(np) AS DOUBLE) AS n, sum(rb * np) - sum(np) * (sum(np) + 1) / 2 - sum(np) * sum(np) / 2 AS ob, sum(ra * np) - sum(np) * (sum(np) + 1) / 2 - sum(np) * sum(np) / 2 AS oa, CAST(sum(CAST(np + nb AS DOUBLE) ** 3 - (np + nb)) AS DOUBLE) AS tb, CAST(sum(CAST(np + na AS DOUBLE) ** 3 - (np + na)) AS DOUBLE) AS ties FROM rk GROUP BY ALL),
+    zz AS (SELECT *, sqrt(n * n / 12 * (2 * n + 1 - tb / (2 * n * (2 * n - 1)))) AS sb, sqrt(n * n / 12 * (2 * n + 1 - ties / (2 * n * (2 * n - 1)))) AS sa FROM uu),
+    pv AS (SELECT *, {_ERFC("CASE WHEN sb > 0 THEN (ob - sign(ob) * least(abs(ob), 0.5::DOUBLE)) / sb ELSE 0 END")} AS p, {_ERFC("CASE WHEN sa > 0 THEN (oa - sign(oa) * least(abs(oa), 0.5::DOUBLE)) / sa ELSE 0 END")} AS pa FROM zz)
+"""
+_METRICS = ", ".join(
+    f'avg({c}) AS "{k}Change"' + "".join(f', avg(CASE WHEN {c} <= -{at} THEN 1e0 ELSE 0e0 END) AS "{k}Claims{x}", coalesce(avg({c}) FILTER ({c} <= -{at}), 0e0) AS "{k}Loss{x}"' for x, at in (("", "threshold"), ("Std", "level")))
+    for k, c in (("predicted", "dp"), ("baseline", "db"), ("adapted", "da"))
+)
+_TRIAL_COLUMNS = " ".join(f"{k}{c}!" for k in ("predicted", "baseline", "adapted") for c in ("Change", "Claims", "Loss", "ClaimsStd", "LossStd"))
 
 
-@query("geohash year predictedChange! predictedClaims! predictedLoss! predictedClaimsStd! adaptedClaims! baselineChange! num n1 u! z! p!", None)
+@query(
+    f"geohash year threshold geohashSimSize offsetBaseline units {_TRIAL_COLUMNS} p! pAdapted!",
+    _SIMULATED + f"""
+--
+SELECT o.*, pv.p, pv.pa AS "pAdapted" FROM (SELECT geohash, year, threshold, size AS "geohashSimSize", policy AS "offsetBaseline", count(*) AS units, {_METRICS} FROM de GROUP BY ALL) o
+JOIN pv ON o.geohash = pv.geohash AND o.year = pv.year AND o.threshold = pv.threshold AND o."geohashSimSize" = pv.size AND o."offsetBaseline" = pv.policy""",
+)
 def simulated_outcomes(spark, d):
-    """Random trials of each task and their outcomes (no SQL: gaussian draws)."""
-    keys = ["geohash", "year"]
-    got = simulated(spark, d)
-    metrics = outcomes.claim_metrics(got, keys, {"predicted": "predicted", "baseline": "baseline", "adapted": "adapted"}, F.lit(0.25), F.col("originalYieldStd") * 0.9)
-    both = got.select(*keys, F.col("predicted").alias("v"), F.lit(True).alias("a")).unionByName(got.select(*keys, F.col("baseline").alias("v"), F.lit(False).alias("a")))
-    ranks = outcomes.mann_whitney(both, keys, "v", F.col("a")).withColumn("p", outcomes.two_sided_p("z"))
-    return metrics.join(ranks, keys)
+    """Trials of each task under all variants, and their outcomes."""
+    units = simulated(spark, d).withColumn("stdLevel", F.col("originalYieldStd") * F.col("thresholdStd"))
+    return outcomes.trial_outcomes(units, _TRIAL, "threshold", "stdLevel")
 
 
-@query("geohash year value!", None)
+@query(
+    "geohash year draw value!",
+    f"""{_REL}, w AS (SELECT *, CAST(floor(obs * 0.2::DOUBLE + (('0x' || substr(md5('one|' || geohash || '|' || year || '|n'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296e0) AS BIGINT) AS k FROM fr),
+    x AS (SELECT geohash, year, ym, ys, draw, md5('one|' || geohash || '|' || year || '|' || draw) AS h FROM w, LATERAL (SELECT unnest(range(1, k + 1)) AS draw))
+--
+SELECT geohash, year, CAST(draw AS INT) AS draw, ym + ys * {_Z1} AS value FROM x""",
+)
 def single_observations(spark, d):
-    """A thinned sample of single observations (no SQL: gaussian draws)."""
+    """A thinned sample of single observations."""
     return trials.individualise(relative(spark, d), ["geohash", "year"], "yieldMean", "yieldStd", "yieldObservations", rate=0.2)
 
 
+@query(
+    "crop policyType unitType coverageAcres! coveragePixels! n",
+    f"WITH units AS ({duck(UNITS)})\n--\nSELECT crop, \"policyType\", \"unitType\", acres AS \"coverageAcres\", acres * (17564481 / 3906250e0) AS \"coveragePixels\", count(*) AS n FROM units WHERE crop = 'Corn' AND \"policyType\" IN ('YP', 'RP') AND acres > 0 GROUP BY ALL",
+)
+def unit_size_rows(spark, d):
+    """The cleaned sizes of insured units, and how often each occurs."""
+    return actuals.unit_sizes(view(spark, d, UNITS)).groupBy("crop", "policyType", "unitType", "coverageAcres", "coveragePixels").agg(F.count("*").alias("n"))
+
+
 # outcomes of given deltas
 
 _DELTA = f"WITH q AS ({duck(DELTAS)}), b AS (SELECT geohash, avg(value) AS base, stddev_pop((value)) AS sd FROM q GROUP BY geohash), de AS (SELECT q.geohash, q.sample, greatest(-1e0, (value - base) / base) AS d, sd / base AS rs, date, id FROM q JOIN b ON q.geohash = b.geohash)"
@@ -243,9 +309,18 @@ def sweep_grid(spark, d):
     return g.join(F.broadcast(runs), ["layers", "block", "allowCount", "l2", "drop"], "left").select("layers", F.col("l2").alias("l2Reg"), F.col("drop").alias("dropout"), "block", "allowCount", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("geohash year predictedMean! predictedStd! meanResidual! stdResidual!", None)
+_FIT = lambda y: (  # weighted least squares of two inputs, in centred sums
+    f"SELECT mx, mz, my, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS b1, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS b2 FROM (SELECT any_value(mx) AS mx, any_value(mz) AS mz, any_value(my) AS my, sum(w * (x - mx) * (x - mx)) AS sxx, sum(w * (z - mz) * (z - mz)) AS szz, sum(w * (x - mx) * (z - mz)) AS sxz, sum(w * (x - mx) * ({y} - my)) AS sxy, sum(w * (z - mz) * ({y} - my)) AS szy FROM fx, (SELECT sum(w * x) / sum(w) AS mx, sum(w * z) / sum(w) AS mz, sum(w * {y}) / sum(w) AS my FROM fx))"
+)
+
+
+@query(
+    "geohash year predictedMean! predictedStd! meanResidual! stdResidual!",
+    f"{_REL}, fx AS (SELECT geohash, year, CAST(year + 15 - 2007 AS DOUBLE) AS x, CAST(obs AS DOUBLE) AS z, CAST(obs AS DOUBLE) AS w, ym, ys FROM fr), fa AS ({_FIT('ym')}), fb AS ({_FIT('ys')}), p AS (SELECT geohash, year, ym, ys, fa.my + fa.b1 * (x - fa.mx) + fa.b2 * (z - fa.mz) AS pm, fb.my + fb.b1 * (x - fb.mx) + fb.b2 * (z - fb.mz) AS ps FROM fx, fa, fb)\n--\n"
+    + 'SELECT geohash, year, pm AS "predictedMean", ps AS "predictedStd", pm - ym AS "meanResidual", ps - ys AS "stdResidual" FROM p',
+)
 def scored_frame(spark, d):
-    """A weighted linear model fitted and scored by Spark (no SQL: fitted coefficients)."""
+    """A weighted linear model fitted and scored by Spark; the SQL solves the same least squares in closed form."""
     rows = relative(spark, d).withColumn("effectiveYear", tasks.effective_year(F.col("year") + 15).cast("double")).withColumn("observations", F.col("yieldObservations").cast("double"))
     features = ["effectiveYear", "observations"]
     models = evaluate.fit_linear(rows, features, {"predictedMean": "yieldMean", "predictedStd": "yieldStd"}, "observations")
@@ -491,11 +566,29 @@ def scheme_claims(spark, d):
     return explore.scheme_claims(exports.claims_rates(view(spark, d, OUTCOMES).withColumn("condition", scalar.series_condition(F.col("series")))), using_std=True)
 
 
-@query("geohash year month tmaxMeanChange! climateMissing", None)
+@query(
+    "geohash year month tmaxMeanChange! rhxMeanChange! climateMissing",
+    f"WITH px AS ({duck(PIXELS)}), daily AS ({_DAILY}), mo AS ({_MONTHLY}), st AS (SELECT attr, avg(mean) AS m, stddev_samp(mean) AS s FROM mo WHERE condition = 'observations' GROUP BY attr), ch AS (SELECT year, geohash, month, avg((mean - m) / s) FILTER (mo.attr = 'tmax') AS t, avg((mean - m) / s) FILTER (mo.attr = 'rhx') AS r FROM mo JOIN st ON mo.attr = st.attr WHERE condition <> 'observations' AND s > 0 GROUP BY ALL), po AS (SELECT DISTINCT geohash, year, month FROM mo)\n--\n"
+    + 'SELECT po.geohash, po.year, po.month, t AS "tmaxMeanChange", r AS "rhxMeanChange", ch.geohash IS NULL AS "climateMissing" FROM po LEFT JOIN ch ON po.geohash = ch.geohash AND po.year = ch.year AND po.month = ch.month',
+)
 def points_with_climate(spark, d):
-    """Climate changes attached to points (checked by a test)."""
+    """Climate changes attached to points."""
     rows = monthly(spark, d)
     change = exports.climate_change(rows.where("condition = 'observations'"), rows.where("condition <> 'observations'"))
     return explore.with_climate(rows.select("geohash", "year", "month").distinct(), change)
 
 
+@query(
+    "geohash values! n",
+    f"""WITH q AS ({duck(DELTAS)}), g AS (SELECT geohash, list(value ORDER BY value) FILTER (sample = 'O') AS a, list(value ORDER BY value) FILTER (sample = 'F') AS b FROM q GROUP BY geohash),
+    w AS (SELECT geohash, i, CASE WHEN ('0x' || substr(md5('side|' || geohash || '|' || i), 1, 8))::BIGINT / 4294967296e0 < len(a) / CAST(len(a) + len(b) AS DOUBLE) THEN a[('0x' || substr(md5('at|' || geohash || '|' || i), 1, 8))::BIGINT % len(a) + 1] ELSE b[('0x' || substr(md5('at|' || geohash || '|' || i), 1, 8))::BIGINT % len(b) + 1] END AS v FROM g, range(1, 1001) r(i))
+--
+SELECT geohash, sum(v * i) AS values, count(v) AS n FROM w GROUP BY geohash""",
+)
+def merged_samples(spark, d):
+    """1,000 draws of two samples merged by their counts, each draw weighed by its number, so that order counts."""
+    side = lambda s: F.sort_array(F.collect_list(F.when(F.col("sample") == s, F.col("value"))))
+    both = view(spark, d, DELTAS).groupBy("geohash").agg(side("O").alias("a"), side("F").alias("b"))
+    merged = both.withColumn("m", sampling.merge_samples(F.col("a"), F.col("b"), F.size("a"), F.size("b"), F.col("geohash")))
+    weighed = F.zip_with("m", F.sequence(F.lit(1), F.size("m")), lambda v, i: v * i)
+    return merged.select("geohash", F.aggregate(weighed, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("values"), F.size(F.array_compact("m")).cast("long").alias("n"))

@@ -27,6 +27,8 @@ PREDICTIONS = """SELECT CAST(p_size % 6 AS INT) AS config, CAST(year(l_shipdate)
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
 SWEEP = """SELECT CASE WHEN p_partkey % 4 = 0 THEN 'temp' ELSE 'all attrs' END AS block, CAST(1 + p_size % 6 AS INT) AS layers, CAST(p_partkey % 5 AS DOUBLE) * 5e-2 AS l2Reg, CAST(p_partkey % 3 AS DOUBLE) / 10e0 AS dropout,
 CAST(p_partkey % 2 AS INT) AS allowCount, p_retailprice / 10007e0 AS validMean, CAST(p_size AS DOUBLE) / 100e0 AS validStd, p_partkey AS id FROM {part}"""
+UNITS = """SELECT CASE WHEN p_size % 7 = 0 THEN 'Soybeans' ELSE 'Corn' END AS crop, CASE p_partkey % 3 WHEN 0 THEN 'YP' WHEN 1 THEN 'RP' ELSE 'APH' END AS policyType,
+CASE WHEN p_size < 20 THEN 'OU' ELSE 'EU' END AS unitType, CASE WHEN p_size % 11 = 0 THEN 0e0 ELSE CAST(p_size AS DOUBLE) / 10e0 END AS acres FROM {part}"""
 BUSINESS = """SELECT CAST(year(o_orderdate) AS INT) AS year, n_name || ', ' || c_mktsegment AS county, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'RP' WHEN '2' THEN 'YP' ELSE 'APH' END AS program,
 CAST(o_orderkey % 50 AS DOUBLE) AS units, floor(CAST(o_orderkey % 50 AS DOUBLE) / 4e0) AS indemnified, o_totalprice / 250007e0 AS lossRatio
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE substr(o_orderpriority, 1, 1) <> '5'"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from acrelens.config import ATTRIBUTES, MONTHS
+from acrelens.config import ATTRIBUTES, BUSINESS_FIELDS, MONTHS
 from acrelens.functions import geo, scalar
-from acrelens.operators import distributions, explore, frame, gates, sampling, tasks
+from acrelens.operators import actuals, distributions, explore, frame, gates, sampling, tasks
 from acrelens.plans.standins import PIXELS, POINTS, YIELD_PIXELS, duck, given, view
 from acrelens.sources import tables
 
@@ -118,26 +118,88 @@ def yield_draws(spark, d):
     return sampling.draw_values(view(spark, d, YIELD_PIXELS), ["geohash", "year"], "value", ["id", "value"], draws=20)
 
 
-@query("geohash year draw value!", None)
+@query(
+    "geohash year draw value!",
+    f"""WITH yp AS ({duck(YIELD_PIXELS)}), n AS (SELECT geohash, year, value, row_number() OVER (PARTITION BY geohash, year ORDER BY id, value) AS at FROM yp), c AS (SELECT geohash, year, count(*) AS n FROM yp GROUP BY ALL),
+    w AS (SELECT geohash, year, CAST(draw AS INT) AS draw, ('0x' || substr(md5('draw|' || geohash || '|' || year || '|' || draw), 1, 8))::BIGINT % n + 1 AS at FROM c, range(1, 1001) r(draw))
+--
+SELECT w.geohash, w.year, w.draw, n.value FROM w JOIN n ON w.geohash = n.geohash AND w.year = n.year AND w.at = n.at""",
+)
 def yield_draws_all(spark, d):
-    """All 1,000 draws with replacement for each cell-year (no SQL: a test draws by brute force)."""
+    """All 1,000 draws with replacement for each cell-year."""
     return sampling.draw_values(view(spark, d, YIELD_PIXELS), ["geohash", "year"], "value", ["id", "value"])
 
 
+_VARIABLES = ", ".join(f"('{v}')" for v in ATTRIBUTES)
+
+
 @query(
     "variable condition date name",
-    f"""WITH y AS (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS year FROM lineitem), v(variable) AS (VALUES ('RHx'), ('chirps-v2')), c(condition) AS (VALUES ('2030_SSP245'), ('2050_SSP245'), ('observations'))
+    f"""WITH y AS (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS year FROM lineitem), v(variable) AS (VALUES {_VARIABLES}), c(condition) AS (VALUES ('2030_SSP245'), ('2050_SSP245'), ('observations'))
 --
-SELECT variable, condition, CAST(make_date(year, 1, 1) + CAST(g * 10 AS INT) AS DATE) AS date, CASE WHEN condition = 'observations' THEN '' ELSE condition || '.' END || CASE WHEN variable <> 'chirps-v2' THEN variable WHEN condition = 'observations' THEN 'chirps-v2.0' ELSE 'CHIRPS' END || '.' || strftime(make_date(year, 1, 1) + CAST(g * 10 AS INT), '%Y.%m.%d') || '.tif' AS name
-FROM y, v, c, range(0, 37) r(g) WHERE year(make_date(year, 1, 1) + CAST(g * 10 AS INT)) = year""",
+SELECT variable, condition, CAST(make_date(year, 1, 1) + CAST(g AS INT) AS DATE) AS date, CASE WHEN condition = 'observations' THEN '' ELSE condition || '.' END || CASE WHEN variable <> 'chirps-v2' THEN variable WHEN condition = 'observations' THEN 'chirps-v2.0' ELSE 'CHIRPS' END || '.' || strftime(make_date(year, 1, 1) + CAST(g AS INT), '%Y.%m.%d') || '.tif' AS name
+FROM y, v, c, range(0, 366) r(g) WHERE year(make_date(year, 1, 1) + CAST(g AS INT)) = year""",
 )
 def raster_manifest(spark, d):
-    """Which rasters to read for the years of the pixels, every tenth day."""
+    """Which rasters to read for the years of the pixels: all variables, conditions and days."""
     years = view(spark, d, PIXELS).select("year").distinct()
-    out = tables.manifest(years, ["RHx", "chirps-v2"], ("2030_SSP245", "2050_SSP245", "observations"), 10)
+    out = tables.manifest(years, list(ATTRIBUTES), ("2030_SSP245", "2050_SSP245", "observations"))
     return out.withColumn("name", tables.raster_name(F.col("variable"), F.col("condition"), F.col("date")))
 
 
+@query(
+    "path year",
+    f"""WITH yp AS ({duck(YIELD_PIXELS)}), k AS (SELECT DISTINCT geohash, year FROM yp)
+--
+SELECT 'store/cells/' || geohash || '/yields_' || year || '.tif' AS path, year FROM k""",
+)
+def found_inputs(spark, d):
+    """Of all paths in a store, side files and files without a year too, those of inputs, and their years."""
+    k, tail = view(spark, d, YIELD_PIXELS).select("geohash", "year").distinct(), F.array(F.lit(".tif"), F.lit(".tif.aux.xml"), F.lit(".md"))
+    path = F.when(F.col("tail") == ".md", F.concat(F.lit("store/2001/"), "geohash", F.lit("/readme.md"))).otherwise(F.concat(F.lit("store/cells/"), "geohash", F.lit("/yields_"), "year", "tail"))
+    return tables.find_inputs(k.withColumn("tail", F.explode(tail)).select(path.alias("path")))
+
+
+@query(
+    "geohash year mean! count",
+    f"WITH yp AS ({duck(YIELD_PIXELS)})\n--\nSELECT geohash, year, avg(value) AS mean, count(*) AS count FROM yp GROUP BY ALL",
+)
+def csv_tables(spark, d):
+    """A1-A3: yearly summaries written as CSV, a folder for each year, with more columns in another order, and read back by header."""
+    rows = distributions.summarize(view(spark, d, YIELD_PIXELS), ["geohash", "year"], with_range=False)
+    path = tables.scratch(spark, "yearly")
+    tables.write_table(rows.withColumn("part", F.col("year")), path, ["std", "geohash", "count", "mean", "year", "part"], "csv", ("part",))
+    return tables.read_csv(spark, path, "geohash string, year int, mean double, count long")
+
+
+@query("value n", "SELECT c_mktsegment || ' ' || c_nationkey AS value, count(*) AS n FROM customer GROUP BY ALL")
+def line_lists(spark, d):
+    """A4: a list written as lines, some blank and padded, and read back."""
+    path = tables.scratch(spark, "lines")
+    own = F.concat(F.lit("  "), "c_mktsegment", F.lit(" "), "c_nationkey", F.lit(" "))
+    tables.write_lines(given(spark, d, "customer").select(F.explode(F.array(own, F.lit("   "), F.lit("")))), path)
+    return tables.read_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query(
+    "year county program units! indemnified! lossRatio!",
+    """WITH b AS (SELECT CAST(year(o_orderdate) AS INT) AS year, 'county ' || o_custkey % 40 || ', IA' AS county, CASE o_orderkey % 3 WHEN 0 THEN 'RP' WHEN 1 THEN 'YP' ELSE 'XX' END AS program, CAST(o_orderkey % 50 AS DOUBLE) AS units, CAST(o_orderkey % 7 AS DOUBLE) AS ind, (o_orderkey % 9) / 4e0 AS lr, o_orderkey FROM orders)
+--
+SELECT year, county, program, sum(units) AS units, sum(ind) AS indemnified, sum(lr * units) / sum(units) AS "lossRatio" FROM b WHERE program <> 'XX' AND units > 0 AND o_orderkey % 5 <> 0 GROUP BY ALL""",
+)
+def business_files(spark, d):
+    """Headerless files with | between 28 padded fields, written from the orders, read and summed in scope."""
+    named = {
+        "commodityYear": F.year("o_orderdate"), "countyName": F.concat(F.lit("county "), F.col("o_custkey") % 40), "stateAbbreviation": F.lit("IA"), "commodityName": F.when(F.col("o_orderkey") % 5 == 0, "WHEAT").otherwise("CORN"),
+        "insurancePlanAbbreviation": F.element_at(F.array(F.lit("RP"), F.lit("YP"), F.lit("XX")), (F.col("o_orderkey") % 3 + 1).cast("int")), "unitsReportingPrem": F.col("o_orderkey") % 50, "indemnifiedUnits": F.col("o_orderkey") % 7,
+        "lossRatio": F.col("o_orderkey") % 9 / 4,
+    }
+    line = F.concat_ws("|", *[F.concat(F.lit(" "), named.get(c, F.lit("0")).cast("string"), F.lit("  ")) for c in BUSINESS_FIELDS])
+    path = tables.scratch(spark, "business")
+    tables.write_lines(given(spark, d, "orders").select(line), path)
+    return actuals.by_county(actuals.read_scope(tables.read_business(spark, path)))
+
+
 _BASE = "SELECT *, sum(mean * count) OVER w / sum(count) OVER w AS bm, sum(std * count) OVER w / sum(count) OVER w AS bs FROM ys WINDOW w AS (PARTITION BY geohash)"
 _CTE = f"WITH px AS ({duck(PIXELS)}), yp AS ({duck(YIELD_PIXELS)}), daily AS ({_DAILY}), mo AS (SELECT * FROM ({_MONTHLY}) WHERE condition = 'observations'), ys AS ({_YEARLY}), base AS ({_BASE}), fr AS (SELECT b.geohash, b.year, bm, bs, b.mean AS ym, b.std AS sd, b.count AS obs, m.month, m.attr, m.mean AS v, m.max AS mx, count(m.attr) OVER (PARTITION BY b.geohash, b.year) AS cc FROM base b LEFT JOIN mo m ON b.geohash = m.geohash AND b.year = m.year)"
 
@@ -155,18 +217,29 @@ def frame_long(spark, d):
     return long_frame(spark, d)
 
 
-_WIDE = " ".join(f"{a}Mean{m}! {a}Max{m}!" for a in ("rhx", "tmax") for m in (1, 6, 12))
+_STATS = {"Mean": "v", "Std": "msd", "Min": "mn", "Max": "mx", "Count": "mc"}
+_WIDE = [(f"{a}{s}{m}", f"max(CASE WHEN attr = '{a}' AND month = {m} THEN {c} END)") for a in ATTRIBUTES.values() for m in MONTHS for s, c in _STATS.items()]
 
 
 @query(
-    f"geohash year yieldObservations climateCounts {_WIDE}",
-    _CTE + "\n--\nSELECT geohash, year, obs AS \"yieldObservations\", cc AS \"climateCounts\", " + ", ".join(f"max(CASE WHEN attr = '{a}' AND month = {m} THEN {c} END) AS \"{a}{s}{m}\"" for a in ("rhx", "tmax") for m in (1, 6, 12) for s, c in (("Mean", "v"), ("Max", "mx"))) + " FROM fr GROUP BY geohash, year, obs, cc",
+    "geohash year yieldObservations climateCounts " + " ".join(n if "Count" in n else f"{n}!" for n, _ in _WIDE),
+    _CTE.replace("m.max AS mx", "m.std AS msd, m.min AS mn, m.max AS mx, m.count AS mc") + "\n--\nSELECT geohash, year, obs AS \"yieldObservations\", cc AS \"climateCounts\", " + ", ".join(f'{c} AS "{n}"' for n, c in _WIDE) + " FROM fr GROUP BY geohash, year, obs, cc",
 )
 def frame_wide(spark, d):
-    """All 480 columns are pivoted; a few are compared."""
+    """All 480 columns."""
     return frame.widen(long_frame(spark, d))
 
 
+@query(
+    "geohash year yieldMean baselineYieldStd yieldObservations climateCounts " + " ".join(n if "Count" in n else f"{n}!" for n, _ in _WIDE),
+    f"WITH px AS ({duck(PIXELS)}), daily AS ({_DAILY}), fr AS (SELECT geohash, year, attr, month, mean AS v, std AS msd, min AS mn, max AS mx, count AS mc, count(*) OVER (PARTITION BY geohash, year) AS cc FROM ({_MONTHLY}) WHERE condition <> 'observations')\n--\n"
+    + "SELECT geohash, year, -1e0 AS \"yieldMean\", -1e0 AS \"baselineYieldStd\", CAST(-1 AS BIGINT) AS \"yieldObservations\", cc AS \"climateCounts\", " + ", ".join(f'{c} AS "{n}"' for n, c in _WIDE) + " FROM fr GROUP BY geohash, year, cc",
+)
+def future_frame(spark, d):
+    """The frame of a future condition, climate alone."""
+    return frame.future_frame(monthly(spark, d).where("condition <> 'observations'"))
+
+
 _YIELDS, _COUNTS = ("yieldMean", "yieldStd", "baselineYieldMean", "baselineYieldStd"), ("climateCounts", "yieldObservations")
 _SLICE = [f"{a}Mean{m}" for a in ("rhx", "tmax") for m in range(1, 7)] + ["yieldMean"]  # what the SQL of the four queries covers
 
@@ -185,6 +258,20 @@ def _sliced(df):
     return df.where(F.col("field").isin(*_SLICE))
 
 
+_KNOWN = ", ".join(f"'{a}'" for a in ATTRIBUTES.values())
+
+
+def _every_field(also: tuple = ()) -> str:
+    """SQL of all fields as rows: five statistics of each attribute and month, and those of the yields."""
+    own = {"yieldMean": "ym", "yieldStd": "sd", "baselineYieldMean": "bm", "baselineYieldStd": "bs", "climateCounts": "cc", "yieldObservations": "obs"}
+    stats, rest = ("Mean", "Std", "Min", "Max", "Count"), (*_YIELDS, *also)
+    return (
+        _CTE.replace("m.max AS mx", "m.std AS msd, m.min AS mn, m.max AS mx, m.count AS mc")
+        + f", lf AS (SELECT geohash, year, unnest([{', '.join(f'attr || {chr(39)}{x}{chr(39)} || month' for x in stats)}]) AS field, unnest([v, msd, mn, mx, CAST(mc AS DOUBLE)]) AS value FROM fr WHERE attr IN ({_KNOWN}) AND month BETWEEN 1 AND 12 "
+        + f"UNION ALL SELECT geohash, year, unnest([{', '.join(repr(x) for x in rest)}]), unnest([{', '.join(f'CAST({own[x]} AS DOUBLE)' for x in rest)}]) FROM (SELECT DISTINCT geohash, year, ym, sd, bm, bs, cc, obs FROM fr))"
+    )
+
+
 _LONG = _CTE + ", lf AS (SELECT geohash, year, attr || 'Mean' || month AS field, v AS value FROM fr WHERE attr IN ('rhx', 'tmax') AND month <= 6 UNION ALL SELECT DISTINCT geohash, year, 'yieldMean', ym FROM fr)"
 
 
@@ -194,9 +281,9 @@ def historic_averages(spark, d):
     return _sliced(historic_averages_all(spark, d))
 
 
-@query("geohash field mean!", None)
+@query("geohash field mean!", _every_field(_COUNTS) + "\n--\nSELECT geohash, field, avg(value) AS mean FROM lf WHERE value IS NOT NULL GROUP BY ALL")
 def historic_averages_all(spark, d):
-    """All fields, counts too (no SQL: tests hold it against the pivoted frame)."""
+    """All fields, counts too."""
     return frame.averages(_fields(spark, d, _COUNTS))
 
 
@@ -209,9 +296,9 @@ def field_deltas(spark, d):
     return _sliced(_deltas(spark, d))
 
 
-@query("geohash year field value!", None)
+@query("geohash year field value!", _every_field() + ", av AS (SELECT geohash, field, avg(value) AS mean FROM lf GROUP BY ALL)\n--\nSELECT l.geohash, l.year, l.field, l.value - a.mean AS value FROM lf l JOIN av a ON l.geohash = a.geohash AND l.field = a.field WHERE l.value IS NOT NULL AND NOT contains(lower(l.field), 'count') AND l.field NOT IN " + repr(_YIELDS))
 def field_deltas_all(spark, d):
-    """All fields that deltas are taken of, as neither counts nor yields are (no SQL: tests hold it against the pivoted frame)."""
+    """All fields that deltas are taken of, as neither counts nor yields are."""
     return _deltas(spark, d).where(~F.col("field").isin(*_YIELDS) & ~F.lower("field").contains("count"))
 
 
@@ -226,9 +313,9 @@ def field_distributions(spark, d):
     return _sliced(field_distributions_all(spark, d))
 
 
-@query("field mean! std!", None)
+@query("field mean! std!", _every_field() + "\n--\nSELECT field, avg(value) AS mean, stddev_samp(value) AS std FROM lf WHERE value IS NOT NULL GROUP BY field")
 def field_distributions_all(spark, d):
-    """All 484 fields (no SQL: tests hold it against the pivoted frame)."""
+    """All 484 fields."""
     return frame.field_distributions(_fields(spark, d))
 
 
@@ -241,9 +328,9 @@ def z_scores(spark, d):
     return _sliced(z_scores_all(spark, d))
 
 
-@query("geohash year field z!", None)
+@query("geohash year field z!", _every_field() + ", di AS (SELECT field, avg(value) AS mean, stddev_samp(value) AS std FROM lf GROUP BY field)\n--\nSELECT l.geohash, l.year, l.field, (l.value - d.mean) / d.std AS z FROM lf l JOIN di d ON l.field = d.field WHERE l.value IS NOT NULL AND d.std > 0")
 def z_scores_all(spark, d):
-    """All 484 fields, without the sentinel rows, which hold what the wide frame lacks (no SQL: tests hold it against the pivoted frame)."""
+    """All 484 fields, without the sentinel rows, which hold what the wide frame lacks."""
     long = _fields(spark, d)
     return frame.z_scores(long, frame.field_distributions(long)).where("z <> -999")
 
@@ -264,13 +351,17 @@ def responses(spark, d):
 
 @query(
     "rows invalid! complete! normal! missing! repeated",
-    f"""WITH yp AS ({duck(YIELD_PIXELS)}), px AS (SELECT geohash, year, value FROM yp), s AS (SELECT geohash, year, {_SUMMARY} FROM px GROUP BY geohash, year)
+    _every_field() + f""", av AS (SELECT geohash, field, avg(value) AS mean FROM lf WHERE value IS NOT NULL GROUP BY ALL), va AS (SELECT l.geohash, l.year, bool_and(a.mean IS NOT NULL) AS valid FROM lf l LEFT JOIN av a ON l.geohash = a.geohash AND l.field = a.field GROUP BY ALL),
+    sp AS (SELECT geohash, year, part, {_SUMMARY} FROM yp WHERE value > 0 GROUP BY ALL), s AS (SELECT sp.*, coalesce(valid, false) AS valid FROM sp LEFT JOIN va ON sp.geohash = va.geohash AND sp.year = va.year)
 --
-SELECT count(*) AS rows, 0e0 AS invalid, avg(CASE WHEN skew IS NOT NULL THEN 1e0 ELSE 0e0 END) AS complete, avg(CASE WHEN abs(skew) <= 2 AND abs(kurtosis) <= 7 THEN 1e0 ELSE 0e0 END) AS normal, avg(CASE WHEN skew IS NULL THEN 1e0 ELSE 0e0 END) AS missing, CAST(0 AS BIGINT) AS repeated FROM s""",
+SELECT count(*) AS rows, avg(CASE WHEN valid THEN 0e0 ELSE 1e0 END) AS invalid, avg(CASE WHEN skew IS NOT NULL THEN 1e0 ELSE 0e0 END) AS complete, avg(CASE WHEN abs(skew) <= 2 AND abs(kurtosis) <= 7 THEN 1e0 ELSE 0e0 END) AS normal, avg(CASE WHEN skew IS NULL THEN 1e0 ELSE 0e0 END) AS missing, (SELECT count(*) FROM (SELECT geohash, year FROM s GROUP BY ALL HAVING count(*) > 1)) AS repeated FROM s""",
 )
 def frame_gates(spark, d):
-    """Reports of the quality gates."""
-    rows = yearly(spark, d).withColumn("valid", F.lit(True)).withColumn("complete", F.col("skew").isNotNull())
+    """Reports of the quality gates on partial summaries, whose cell-years repeat, and on the deltas' valid flag."""
+    long = _fields(spark, d)
+    valid = frame.field_deltas(long, frame.averages(long)).groupBy("geohash", "year").agg(F.bool_and("valid").alias("valid"))
+    parts = distributions.summarize(view(spark, d, YIELD_PIXELS).where("value > 0"), ["geohash", "year", "part"])
+    rows = parts.join(valid, ["geohash", "year"], "left").withColumn("valid", F.coalesce("valid", F.lit(False))).withColumn("complete", F.col("skew").isNotNull())
     return rows.agg(F.count("*").alias("rows")).crossJoin(gates.delta_gate(rows)).crossJoin(gates.missing_gate(rows, "skew")).crossJoin(gates.unique_gate(rows, ["geohash", "year"]))
 
 

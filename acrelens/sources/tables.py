@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -9,9 +12,25 @@ from pyspark.sql.types import StringType, StructType
 from acrelens.config import BUSINESS, CONDITIONS
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A headed CSV with a declared schema; columns are matched by position, what can't be parsed is null."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path below the cluster's shared folder, spark.checkpoint.dir; only a local session may do without one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='acrelens-')}"
+    return f"{found}/files/{tag}-{uuid.uuid4().hex}"
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A headed CSV's columns of the declared schema, found by the names in its header, in whatever order they stand.
+
+    What can't be parsed is null, a declared column that the header lacks is an error, others are ignored. The files of a folder
+    have one header.
+    """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
 
 
 def write_table(df: DataFrame, path: str, columns: list[str], kind: str = "parquet", partition_by: tuple = ()) -> None:
