@@ -272,23 +272,6 @@ def test_mixing_lm(spark, docs):
     assert op8_mixing_lm.score(empty(spark)).count() == 0
 
 
-def test_mixer_learns_and_sums_to_one():
-    rng = np.random.default_rng(0)
-    words = [w.encode() for w in VOCABULARY]
-    kinds, n = np.ones(len(words), np.int64), np.full(len(words), 50.0)
-    zeros, ones = np.zeros((2, int(op8_mixing_lm.OFFSETS[-1])), np.float32)
-    for pdf in op8_mixing_lm._count(iter([pd.DataFrame({"word": words, "kind": kinds, "n": n})]), 3):
-        for r in pdf.itertuples():
-            at = np.frombuffer(r.slot, np.uint16).astype(int) + r.block * op8_mixing_lm.BLOCK
-            zeros[at], ones[at] = np.frombuffer(r.zeros, np.float32), np.frombuffer(r.ones, np.float32)
-    mixer = op8_mixing_lm.fit_mixer(words, kinds, n, zeros, ones, n >= 3)
-    st, seen = op8_mixing_lm.stretched(zeros, ones)
-    known = op8_mixing_lm.word_scores(words, kinds, st, seen, mixer)
-    assert known.mean() > -2.2 and known.mean() > op8_mixing_lm.word_scores([bytes(rng.permutation(list(w)).astype(np.uint8)) for w in words], kinds, st, seen, mixer).mean() + 1
-    first = op8_mixing_lm.word_scores([bytes([b]) for b in range(256)], kinds[:1].repeat(256), st, seen, mixer)
-    assert (10**first).sum() <= 1.0 + 1e-6  # one-byte words are some of all words
-
-
 def test_packing(spark, docs):
     out = op9_packing.pack_documents(docs.withColumn("capacity", F.lit("x"))).toPandas()
     n = docs.select(op7_mix.word_count(F.col("text")).alias("n")).toPandas()["n"].sum()
@@ -401,21 +384,3 @@ def test_pipeline(spark, tmp_path):
     words = lambda df: df.select(F.sum(op7_mix.word_count(F.col("text")))).first()[0]
     assert seen["best_fit_packing"].agg(F.sum("n_tokens")).first()[0] == words(seen["mix_sources"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["best_fit_packing"].count()
-
-
-def test_histories_hold_words_however_rare(spark):
-    lm = op8_mixing_lm
-    rows = [(0, 1, b"abc", 1), (1, 1, b"abd", 10**8), (1, 2, b"abc", 5), (2, 1, b"abx", 0)]
-    got = lm.count_histories(spark.createDataFrame(rows, "page int, kind int, word binary, n long")).toPandas()
-    flat = lm.flatten([b"abc"], np.array([1]))
-    for which in range(len(lm.TABLES)):
-        key = int(lm.context_keys(flat, which)[2:3].view(np.int64)[0])  # before the third byte
-        both = {ord("c"): 1, ord("d"): 10**8} if lm.TABLES[which][0] != "five" else {ord("c"): 6, ord("d"): 10**8}
-        for page in (0, 2):
-            own = got[(got["page"] == page) & (got["key"] == key)]
-            assert dict(zip(own["byte"], own["n"])) == both
-    own = got[got["page"] == 0]
-    index, zeros, ones = lm.histories(own["key"].to_numpy(), own["byte"].to_numpy(), own["n"].to_numpy())
-    at = lm.places(flat, 7, 4, index)[2]  # lowest bit, after the whole word so far: "c" has a one; "b" would have a zero
-    assert (zeros[at], ones[at]) == (0, 1)
-    assert lm.places(lm.flatten([b"zz"], np.array([1])), 7, 4, index)[1] == len(index) and zeros[-1] == ones[-1] == 0
