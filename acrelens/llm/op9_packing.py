@@ -1,13 +1,17 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-Items go, longest first, into the open bin that they leave the least room in. If none has room, a bin of the
-permitted length opens whose cost for each token that can still come into it is least; in the end each bin
-shrinks to the least length that holds its contents. Blocks of bounded size are packed independently.
+Items go, longest first, into the open bin that they leave the least room in. If none has room, a bin of that
+length opens whose cost for each token that can still come into it is least; in the end each bin shrinks to the least
+permitted length that holds its contents. Which of the permitted lengths may open is optimised jointly: every set of them
+that can hold all items is tried on all sizes of a block, and the one whose bins cost least is kept. A sequence costs
+something besides its tokens, and attention that grows with the square of its length, so neither the shortest nor the longest
+bins are cheapest for all items. Blocks of bounded size are packed independently.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,23 +21,29 @@ from acrelens.llm.op7_mix import word_count
 from acrelens.llm.shared import settle, table
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)  # permitted sequence lengths, in words
-OVERHEAD = 64  # cost of a sequence besides its length
+OVERHEAD = 64  # cost of a sequence besides its tokens, in tokens
+ATTENTION = 16_384  # length at which attention costs as much as all else
 
 
-def pack(sizes: list[int], lengths: tuple = LENGTHS, overhead: int = OVERHEAD) -> tuple[list[int], list[int], dict[int, int]]:
-    """(bin, offset) of each item, items in any order, and the length of each bin. No size is above max(lengths)."""
+def cost_of(length: int) -> float:
+    """What a sequence of a permitted length costs, filled or not."""
+    return OVERHEAD + length + length * length / ATTENTION
+
+
+def fill(order: list[int], sizes: list[int], opening: tuple, lengths: tuple, cost=cost_of) -> tuple[float, list, list, list]:
+    """Best fit in the given order, with bins of `opening` lengths: what all shrunk bins cost, (bin, offset) of each item, and the lengths."""
     left = sum(sizes)
     bins, offsets = [0] * len(sizes), [0] * len(sizes)
     room: list[tuple[int, int]] = []  # (free words, bin), in order
     used: list[int] = []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+    prices = [(c, cost(c)) for c in sorted(opening)]
+    for i in order:
         n = sizes[i]
         k = bisect_left(room, (n, -1))
         if k < len(room):
             free, b = room.pop(k)
         else:
-            fitting = [c for c in lengths if c >= n]
-            free = min(fitting, key=lambda c: ((c + overhead) / max(1, min(c, left)), c))
+            _, free = min((price / max(1, min(c, left)), c) for c, price in prices if c >= n)
             b = len(used)
             used.append(0)
         bins[i], offsets[i] = b, used[b]
@@ -41,10 +51,24 @@ def pack(sizes: list[int], lengths: tuple = LENGTHS, overhead: int = OVERHEAD) -
         left -= n
         if free > n:
             insort(room, (free - n, b))
-    return bins, offsets, {b: min(c for c in lengths if c >= u) for b, u in enumerate(used)}
+    sized = sorted(lengths)
+    final = [sized[bisect_left(sized, u)] for u in used]
+    return sum(map(cost, final)), bins, offsets, final
+
+
+def pack(sizes: list[int], lengths: tuple = LENGTHS, cost=cost_of) -> tuple[list[int], list[int], dict[int, int]]:
+    """(bin, offset) of each item, items in any order, and the length of each bin. No size is above max(lengths).
+
+    Of all sets of lengths that may open, each with the least length that holds the largest item or a longer one, that with the least cost is taken.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    biggest = max(sizes, default=0)
+    sets = [s for k in range(1, len(lengths) + 1) for s in combinations(sorted(lengths), k) if s[-1] >= biggest]
+    best = min((fill(order, sizes, s, lengths, cost) for s in sets), key=lambda x: x[0], default=(0, [], [], []))
+    return best[1], best[2], dict(enumerate(best[3]))
 
 
-def best_fit(items: DataFrame, size_col: str, lengths: tuple = LENGTHS, overhead: int = OVERHEAD, block: int = 20_000) -> DataFrame:
+def best_fit(items: DataFrame, size_col: str, lengths: tuple = LENGTHS, block: int = 20_000) -> DataFrame:
     """Each row of `items` as a struct `row`, cut into pieces that fit: row, piece, start, n_tokens, bin_id, capacity, offset.
 
     A row of more than max(lengths) words is cut into pieces of that many and a rest; start is the piece's first
@@ -62,7 +86,7 @@ def best_fit(items: DataFrame, size_col: str, lengths: tuple = LENGTHS, overhead
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_row", "piece"])
-        bins, offsets, capacity = pack(pdf["n_tokens"].tolist(), lengths, overhead)
+        bins, offsets, capacity = pack(pdf["n_tokens"].tolist(), lengths)
         first = int(pdf["block"].iloc[0]) << 32
         return pdf[["_row", "piece", "n_tokens"]].assign(bin_id=[first + b for b in bins], capacity=[capacity[b] for b in bins], offset=offsets)
 
