@@ -104,34 +104,42 @@ def near_links(fps: DataFrame, radius: int = 4, count: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, count: int = 3) -> DataFrame:
-    """One row per row of `docs`: its id, fp and component_id, the smallest id reachable over links.
+    """One row per row of `docs`: its id, fp, component_id, the smallest id reachable over links, and class, the smallest
+    fingerprint reachable.
 
     Documents link if their fingerprints differ in at most `radius` bits; texts without words link with each
     other like any others (fingerprint 0). Rows with equal fingerprints are one node, so copies cost nothing;
-    a null id keeps its row and gets its component. Extra columns are ignored. An empty table gives no rows.
+    a null id keeps its row, links like others and gets its component, whose component_id is null if all its ids are. Extra
+    columns are ignored. An empty table gives no rows.
     `count` is the number of segments: more make fewer probes but larger buckets (3 suits up to some 10^8
     distinct fingerprints, 2 more).
     """
     rows = settle(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), "t").drop("t"), "fps")
-    fps = settle(rows.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    known = components(near_links(fps.where("id is not null"), radius, count))
-    named = fps.join(known.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    fps = settle(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    known = components(near_links(fps.select("fp", F.col("fp").alias("id")), radius, count))
+    named = fps.join(known.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    # most classes are one fingerprint; those of more are met again by their class
+    least = named.groupBy("class").agg(F.min("least").alias("component_id"))
+    return rows.join(named.select("fp", "class"), "fp").join(least, "class").select(F.col("id").alias(id_col), "fp", "component_id", "class")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """The rows of `docs` of which one stays for each component: the row whose id is the component's.
 
-    An id names one document: of rows that repeat an id, that with the smallest text stays. Rows with a null id
-    can't be told apart and all stay. Only rows of repeated ids are shuffled with their texts.
+    Of rows that repeat an id in one component, that with the smallest text stays; an id with texts in several components is
+    looked at in each. Rows with a null id can't be told apart and all stay. Only rows of repeated ids are shuffled
+    with their texts.
     """
-    found = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col).isNotNull())
-    ids = found.groupBy(id_col).agg(F.count("*").alias("_n"), F.min("component_id").alias("_c"))
-    ids = settle(ids.where(f"_n > 1 or _c <> `{id_col}`"), "gone")  # of most documents nothing is here
+    found = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col).isNotNull()).withColumn("_stays", F.col("component_id") == F.col(id_col))
+    found = settle(found.select(id_col, "fp", "class", "_stays"), "found")
+    ids = found.groupBy(id_col).agg(F.count("*").alias("_n"), F.bool_or("_stays").alias("_any"))
+    ids = settle(ids.where("_n > 1 or not _any"), "gone")  # of most documents nothing is here
     # merge: the same plan at every size; AQE splits its hot keys
     once = docs.join(ids.select(id_col).hint("merge"), id_col, "left_anti")
-    more = docs.join(ids.where(f"_n > 1 and _c = `{id_col}`").select(id_col), id_col, "left_semi").select(id_col, F.struct("*").alias("row"), F.col(text_col).alias("_t"))
-    more = more.groupBy(id_col).agg(F.min_by("row", F.struct(F.col("_t").isNull(), "_t")).alias("row")).select("row.*")
+    more = docs.join(ids.where("_n > 1 and _any").select(id_col), id_col, "left_semi").select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    more = fingerprints(more, "_t", "_fp")
+    stay = found.where("_stays").select(F.col(id_col).alias("_id"), F.col("fp").alias("_fp"), F.col("class").alias("_class")).distinct()
+    more = more.join(stay, ["_id", "_fp"]).groupBy("_id", "_class").agg(F.min_by("row", F.struct(F.col("_t").isNull(), "_t")).alias("row")).select("row.*")
     return once.unionByName(more)
 
 

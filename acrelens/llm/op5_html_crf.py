@@ -301,12 +301,13 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "main_text", sa
     """Add `out`, the main text of each page ("" if there is none, and for null), to `pages`.
 
     The field is trained on the driver from at most `sample` pages, those of the smallest hashes of their
-    html among a thinned part of the table, so equal tables give equal fields. Repeated rows are treated alike.
+    html among a thinned part of the table, whole, so equal tables give equal fields. Repeated rows are treated alike. A column of
+    `pages` that is named `out` gives way.
     """
     total = pages.count()
     thin = max(1, total // (4 * sample))
     some = pages.select(F.col(html_col).alias("h"), F.xxhash64(html_col).alias("x")).where("h is not null").where(F.pmod("x", F.lit(thin)) == 0)
-    taken = [r["h"] for r in some.orderBy("x").select(F.substring("h", 1, 200_000).alias("h")).limit(sample).collect()]
+    taken = [r["h"] for r in some.orderBy("x").select("h").limit(sample).toLocalIterator()]
     sent = pages.sparkSession.sparkContext.broadcast(train(taken))
 
     @F.pandas_udf("string")

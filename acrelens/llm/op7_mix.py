@@ -39,7 +39,7 @@ def targets(sizes: dict, weights: dict, cap: int = 3) -> dict:
 
 
 def mix(rows: DataFrame, key: F.Column, cycle: tuple = (1, 2, 3), cap: int = 3, rounds: int = 3) -> DataFrame:
-    """Add source_size, target, copies and taken to `rows` (source string, size long, any other columns).
+    """Add source_size, target, copies and taken to `rows` (source string, size long, any other columns; of these names, they give way).
 
     Sources by code point, null last, weigh `cycle` in turn. `key` is a string whose md5 decides, with no
     other state, so reruns agree; documents with equal keys and sizes in a source are taken together. Within
@@ -50,8 +50,9 @@ def mix(rows: DataFrame, key: F.Column, cycle: tuple = (1, 2, 3), cap: int = 3,
     than `cap` copies. Only sums by source, and by source and hash bucket of the boundary, reach the driver;
     their number depends on the sources, not on the rows.
     """
-    spark = rows.sparkSession
-    rows = rows.withColumn("_h", F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long"))
+    spark, plain = rows.sparkSession, [c for c in rows.columns if c not in ("source_size", "target", "copies", "taken")]
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), "source", "size", key.alias("_key"))
+    rows = rows.withColumn("_h", F.conv(F.substring(F.md5("_key"), 1, BITS // 4), 16, 10).cast("long"))
     slim = settle(rows.groupBy("source", "_h", "size").agg(F.sum("size").alias("n")), "mix")
     sizes = {r["source"]: int(r["n"] or 0) for r in slim.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
@@ -73,7 +74,8 @@ def mix(rows: DataFrame, key: F.Column, cycle: tuple = (1, 2, 3), cap: int = 3,
     out = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_s")))
     more = F.exists("_cuts", lambda c: (F.col("_h") >= c["lo"]) & (F.col("_h") < c["hi"]) & (F.col("size") <= c["most"]))
     out = out.withColumn("copies", F.col("_base") + more.cast("int"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_s", "_h", "_base", "_cuts")
+    out = out.withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*[F.col(f"_row.`{c}`") for c in plain], "source_size", "target", "copies", "taken")
 
 
 def _boundaries(slim: DataFrame, ask: dict) -> dict:

@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests, one machine) a new temporary folder."""
+    """The cluster's spark.checkpoint.dir; only a local session without one gets a new temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='acrelens-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -45,7 +47,7 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(hadoop).delete(where, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a long, b long): rows (node, component), component the smallest node.
 
     Alternates large-star and small-star contraction. Both are a grouped minimum, which Spark combines
@@ -56,7 +58,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     now = settle(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _mark(now)
-    for _ in range(max_rounds):
+    for _ in range(20 + 4 * int(before[0]).bit_length()):  # far above the rounds that halving takes
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -75,7 +77,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
         before = mark
     else:
-        raise RuntimeError("components() did not settle; raise max_rounds")
+        raise RuntimeError("components() did not settle")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

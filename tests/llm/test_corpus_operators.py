@@ -83,6 +83,9 @@ def test_simhash(spark, docs):
             least[label[i]] = min(least.get(label[i], r[0]), r[0])
     assert got == sorted((r[0] if r[0] is not None else -1, fp[i], least.get(label[i])) for i, r in enumerate(rows) if True)
     assert op1_simhash.near_duplicates(empty(spark)).count() == 0
+    some = [(5, "one text of a few words"), (5, "another text of a few words more"), (3, "another text of a few words more"), (9, "one text of a few words")]
+    left = op1_simhash.keep_one(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in some], DDL)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(3, some[1][1]), (5, some[0][1])]
     kept = op1_simhash.keep_one(docs.withColumn("component_id", F.lit("x")).withColumn("fp", F.lit(1)))
     assert kept.columns == [*docs.columns, "component_id", "fp"]
     ids = [r["doc_id"] for r in kept.collect()]
@@ -102,6 +105,21 @@ def test_simhash_links_of_random_fingerprints(spark):
         assert [got.get(i, i) for i in range(len(near))] == want
 
 
+def test_simhash_bridges_and_long_texts(spark, monkeypatch):
+    prints = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": 1 << 60 | 0b1111 << 20}  # a - b - c is joined over b, which has no id
+    real = op1_simhash.fingerprints
+    monkeypatch.setattr(op1_simhash, "fingerprints", lambda df, col="text", out="fp", width=4: df.withColumn(out, F.element_at(F.create_map(*[F.lit(v) for kv in prints.items() for v in kv]), F.col(col))))
+    rows = spark.createDataFrame([(7, "a"), (None, "b"), (4, "c"), (2, "d"), (None, "d")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in op1_simhash.near_duplicates(rows).collect())
+    assert got == [(0, 2), (0, 4), (2, 2), (4, 4), (7, 4)]
+    monkeypatch.undo()
+    rng = np.random.default_rng(9)
+    for n in (op1_simhash.PIECE, op1_simhash.PIECE + 3, 2 * op1_simhash.PIECE + 5):  # shingles around the edges of the pieces
+        text = prose(rng, n)
+        assert op1_simhash.fingerprint_text(text) == plain_fingerprint(text)
+    assert real is op1_simhash.fingerprints
+
+
 def vectors():
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(6, 16))
@@ -244,6 +262,13 @@ def test_licenses(spark):
     assert ("mit-grant" in {c[0] for c in index.candidates(h)})
 
 
+def test_mix_clashes(spark, docs):
+    rows = docs.select("*", F.lit("x").alias("target"), F.lit(1).alias("copies"), F.lit(2).alias("_h"), op7_mix.word_count(F.col("text")).alias("size"))
+    out = op7_mix.mix(rows, op7_mix.key_of("doc_id"))
+    assert out.columns == [c for c in rows.columns if c not in ("target", "copies")] + ["source_size", "target", "copies", "taken"]
+    assert out.count() == docs.count() and {r["_h"] for r in out.collect()} == {2}
+
+
 def test_mix(spark, docs):
     rows = docs.select("doc_id", "source", op7_mix.word_count(F.col("text")).alias("size"))
     out = op7_mix.mix(rows, op7_mix.key_of("doc_id")).toPandas()
@@ -281,12 +306,46 @@ def test_packing(spark, docs):
         used, cap = g["n_tokens"].sum(), g["capacity"].iloc[0]
         assert used <= cap and cap == min(c for c in op9_packing.LENGTHS if c >= used)
     assert op9_packing.pack_documents(empty(spark)).count() == 0
-    rng = np.random.default_rng(0)
-    sizes = rng.integers(0, 900, 300).tolist() + [8192, 8192]
-    bins, offsets, cap = op9_packing.pack(sizes)
-    assert sum(sizes) / sum(cap.values()) > 0.95
-    spans = sorted((b, o, o + n) for b, o, n in zip(bins, offsets, sizes) if n)
-    assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+    long = spark.createDataFrame([(1, "w " * 20_000), (2, "w " * 8192), (3, "w " * 8193), (4, "w " * 8193)], "doc_id long, text string")
+    pieces = op9_packing.pack_documents(long).orderBy("doc_id", "piece").toPandas()
+    assert pieces.groupby("doc_id")["n_tokens"].apply(list).tolist() == [[8192, 8192, 3616], [8192], [8192, 1], [8192, 1]]
+    assert (pieces["start"] == pieces["piece"] * 8192).all()
+
+
+def least_cost(sizes, lengths, cost):
+    """The least cost of all ways to part a few items into bins."""
+    best = {0: 0.0}
+    full = (1 << len(sizes)) - 1
+    fits = {m: cost(min(c for c in lengths if c >= t)) for m in range(1, full + 1) if (t := sum(n for i, n in enumerate(sizes) if m >> i & 1)) <= max(lengths)}
+    for m in range(1, full + 1):
+        low, sub, found = m & -m, m, float("inf")
+        while sub:
+            if sub & low and sub in fits:
+                found = min(found, fits[sub] + best[m ^ sub])
+            sub = (sub - 1) & m
+        best[m] = found
+    return best[full]
+
+
+def test_packing_lengths_are_chosen_jointly():
+    rng, lengths, ratios = np.random.default_rng(0), op9_packing.LENGTHS, []
+    total = lambda cap: sum(map(op9_packing.cost_of, cap.values()))
+    for case in range(40):
+        sizes = rng.integers(1, (700, 2500, 8192)[case % 3], rng.integers(1, 9)).tolist()
+        bins, offsets, cap = op9_packing.pack(sizes)
+        spans = sorted((b, o, o + n) for b, o, n in zip(bins, offsets, sizes))
+        assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(spans, spans[1:])) and all(s[2] <= cap[s[0]] for s in spans)
+        ratios.append(total(cap) / least_cost(sizes, lengths, op9_packing.cost_of))
+        assert 1 - 1e-9 <= ratios[-1] < 1.6
+    assert np.mean(ratios) < 1.1
+    order = lambda s: sorted(range(len(s)), key=lambda i: -s[i])
+    for high in (400, 3000):
+        sizes = rng.integers(0, high, 3000).tolist() + [8192, 6000]
+        cap = op9_packing.pack(sizes)[2]
+        alone = [op9_packing.fill(order(sizes), sizes, (c, 8192), lengths)[0] for c in lengths] + [op9_packing.fill(order(sizes), sizes, lengths, lengths)[0]]
+        assert total(cap) <= min(alone) + 1e-6 and len(set(cap.values())) > 1
+        assert sum(sizes) / sum(cap.values()) > 0.95
+    assert op9_packing.pack([]) == ([], [], {}) and op9_packing.pack([0, 0])[2] == {0: 512}
 
 
 def edits(a, b):
