@@ -32,7 +32,7 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     later use see the same rows.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again.settled_at = path
     return again
