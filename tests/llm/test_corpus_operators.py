@@ -262,6 +262,33 @@ def test_licenses(spark):
     assert ("mit-grant" in {c[0] for c in index.candidates(h)})
 
 
+def test_licenses_against_all_windows():
+    index, rng = op6_licenses.Index(op6_licenses.TEMPLATES), np.random.default_rng(4)
+    names = sorted(op6_licenses.TEMPLATES)
+
+    def every(hashes):
+        for w, own in index.templates.items():
+            for name, h, _ in own:
+                for i in range(0, max(1, len(hashes)), w // 2):
+                    yield name, h, i, min(len(hashes), i + 3 * w // 2)
+
+    found = 0
+    for case in range(60):
+        words = prose(rng, int(rng.integers(0, 900))).split()
+        for name in rng.choice(names, 2):
+            own = op6_licenses.TEMPLATES[name].split()
+            for k in np.flatnonzero(rng.random(len(own)) < (0, 0.02, 0.04, 0.1)[case % 4]):
+                own[k] = "x"
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = own
+        got = index.scan(" ".join(words))
+        plain = op6_licenses.Index(op6_licenses.TEMPLATES)
+        plain.candidates = every
+        assert got == plain.scan(" ".join(words))
+        found += len(got)
+    assert found > 60 and {m[0] for m in index.scan("x " * 50 + op6_licenses.TEMPLATES["bsd-3-clause"])} >= {"bsd-3-clause", "bsd-grant"}
+
+
 def test_mix_clashes(spark, docs):
     rows = docs.select("*", F.lit("x").alias("target"), F.lit(1).alias("copies"), F.lit(2).alias("_h"), op7_mix.word_count(F.col("text")).alias("size"))
     out = op7_mix.mix(rows, op7_mix.key_of("doc_id"))
