@@ -1,7 +1,8 @@
 """Embedding near-dedup: exact threshold pairs by dual traversal of cover trees.
 
-The top of the tree is a net over a bounded sample of pivots; every vector goes to the cell of its nearest
-pivot, and cells are cut into blocks of bounded size. Each block has nested levels with halving radii,
+The top of the tree is a bounded sample of pivots; every vector goes to the cell of its nearest
+pivot, and in large cells to the subcell of one of the cell's own pivots; blocks are of bounded size, and pairs of subcells
+are pruned by their covering radii before any vector is copied. Each block has nested levels with halving radii,
 built in one task. Two blocks are traversed together, level by level: a pair of nodes is dropped when
 their distance less both covering radii is above the threshold, and taken whole when it plus both radii is
 below, so that a dense group of copies isn't expanded into its pairs.
@@ -13,7 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acrelens.llm.shared import components, settle, table
@@ -29,22 +30,25 @@ def unit(vectors) -> np.ndarray:
 
 
 def nets(x: np.ndarray, radii: tuple = LEVELS) -> list[np.ndarray]:
-    """For each level the index of every row's centre: centres of a level are over its radius apart, each
-    row is within it of its centre, and a row's centre at a level lies under that centre's own parent."""
-    n, out, above = len(x), [], np.zeros(len(x), np.int64)
+    """For each level the index of every row's centre. The centres of a level are all over its radius apart, and stay centres below; a
+    centre lies within the radius above of the one that it hangs under, its nearest there; each row is within the last radius of its centre."""
+    far = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
+    np.fill_diagonal(far, 0)
+    levels, chosen = [], np.zeros(0, np.int64)
     for r in radii:
-        centre = np.full(n, -1, np.int64)
-        for parent in np.unique(above):
-            left = np.flatnonzero(above == parent)
-            first = parent if len(out) else left[0]  # nested: a centre stays one
-            while len(left):
-                near = np.linalg.norm(x[left] - x[first], axis=1) <= r
-                near |= left == first
-                centre[left[near]] = first
-                left = left[~near]
-                first = left[0] if len(left) else -1
-        out.append(centre)
-        above = centre
+        covered = (far[chosen] <= r).any(0) if len(chosen) else np.zeros(len(x), bool)
+        new = []
+        for i in range(len(x)):
+            if not covered[i]:
+                new.append(i)
+                covered |= far[i] <= r
+        chosen = np.sort(np.concatenate([chosen, np.array(new, np.int64)]))
+        levels.append(chosen)
+    out = [levels[-1][far[:, levels[-1]].argmin(1)]]
+    for above in levels[-2::-1]:
+        up = np.arange(len(x))
+        up[out[0]] = above[far[np.ix_(out[0], above)].argmin(1)]
+        out.insert(0, up[out[0]])
     return out
 
 
@@ -155,20 +159,60 @@ def usable(vector) -> F.Column:
 
 
 def _with_cells(rows: DataFrame, pivots: dict) -> DataFrame:
-    """Add cell (a pivot's number, or -1) and far, the distance to it (1 for -1: the origin)."""
+    """Add cell (a pivot's number, or -1), far, the distance to it, and top, its unit vector (null for -1)."""
     sent = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches):
         for pdf in batches:
-            cell, far, x = np.full(len(pdf), -1, np.int64), np.ones(len(pdf)), None
+            cell, far, top = np.full(len(pdf), -1, np.int64), np.ones(len(pdf)), np.full(len(pdf), None, object)
             for group, at in pdf.groupby("group", sort=False).indices.items():
                 if found := sent.value.get(group):
                     x = unit(pdf["embedding"].iloc[at])
                     d = np.sqrt(np.maximum(0, 2 - 2 * x @ found[1].T))
-                    cell[at], far[at] = found[0][d.argmin(1)], d.min(1)
-            yield pdf.assign(cell=cell, far=far)
+                    best = d.argmin(1)
+                    cell[at], far[at] = found[0][best], d.min(1)
+                    for i, j in zip(at, best):
+                        top[i] = found[1][j]
+            yield pdf.assign(cell=cell, far=far, top=top)
+
+    return rows.mapInPandas(assign, "id long, n long, group string, embedding array<double>, cell long, far double, top array<double>")
+
+
+def _to_subcells(batches):
+    """Give each row the nearest pivot of its cell's own (sub 0 and the cell's pivot where there are none), near, the distance to it, and its unit vector."""
+    for pdf in batches:
+        sub, near, centre = np.zeros(len(pdf), np.int32), pdf["far"].to_numpy().copy(), pdf["top"].to_numpy(object).copy()
+        for _, at in pdf.groupby(["group", "cell"], sort=False).indices.items():
+            pivots = pdf["pivots"].iloc[at[0]]
+            if pivots is None or not len(pivots):
+                continue
+            pivots = sorted(pivots, key=lambda p: p["sub"])
+            p, number = unit([r["embedding"] for r in pivots]), np.array([r["sub"] for r in pivots], np.int32)
+            d = np.sqrt(np.maximum(0, 2 - 2 * unit(pdf["embedding"].iloc[at]) @ p.T))
+            best = d.argmin(1)
+            sub[at], near[at] = number[best], d.min(1)
+            for i, j in zip(at, best):
+                centre[i] = p[j]
+        yield pdf[["id", "n", "group", "embedding", "cell"]].assign(sub=sub, near=near, centre=centre)
+
+
+def _near_cells(spark: SparkSession, pivots: dict, radius: dict, tau: float) -> DataFrame:
+    """(group, cell, cell2): cells of two pivots that may hold linked vectors, by their covering radii; found in tasks, a few pivots each."""
+    sent = spark.sparkContext.broadcast((pivots, radius))
+    slices = [(g, lo) for g, (ids, _) in pivots.items() for lo in range(0, len(ids), 64)]
+
+    def run(batches):
+        pivots, radius = sent.value
+        for pdf in batches:
+            for g, lo in zip(pdf["group"], pdf["lo"]):
+                ids, x = pivots[g]
+                r = np.array([radius.get((g, int(k)), -9.0) for k in ids])
+                own = np.arange(lo, min(lo + 64, len(ids)))
+                d = np.sqrt(np.maximum(0, 2 - 2 * x[own] @ x.T))
+                i, j = np.nonzero((d - r[own, None] - r[None, :] <= tau + SLACK) & (own[:, None] < np.arange(len(ids))[None, :]))
+                yield pd.DataFrame({"group": g, "cell": ids[own[i]], "cell2": ids[j]})
 
-    return rows.mapInPandas(assign, "id long, n long, group string, embedding array<double>, cell long, far double")
+    return spark.createDataFrame(slices, "group string, lo int").repartition(max(1, len(slices) // 4)).mapInPandas(run, "group string, cell long, cell2 long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, block: int = 2048, most_pivots: int = 4096) -> DataFrame:
@@ -177,9 +221,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Vectors with a null label, null, empty or all zero ones, and those with null or non-finite components
     link with nothing; so do vectors of different lengths. Equal vectors of a label are one node with a weight:
     copies link with each other but are never paired one by one. Extra columns are ignored. An id that occurs
-    in several rows names each of them alike. About one in `block` vectors is a pivot, `most_pivots` at
-    most; every vector is indexed, and pruning drops no link. Blocks hold about `block` rows, whatever a label's or
-    a cell's share of all rows.
+    in several rows names each of them alike. Rows with a null id link with nothing. About one in `block` vectors is a pivot,
+    `most_pivots` at most; cells of over a block have pivots of their own, as many at most, and what a subcell
+    still holds beyond a block (vectors so close that no pivot parts them) is cut into blocks. Every vector is indexed, and
+    pruning drops no link.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
@@ -197,27 +242,35 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         pivots[g] = (np.array([k for k, _ in found]), unit([v for _, v in found]))
     celled = settle(_with_cells(nodes, pivots), "cells")
     cells = celled.groupBy("group", "cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
-    radius = {r["cell"]: r["radius"] for r in cells.where("cell >= 0").collect()}
-    tau, near = math.sqrt(2 - 2 * cosine), []
-    for g, (ids, x) in pivots.items():
-        r = np.array([radius.get(int(k), -9.0) for k in ids])
-        d = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
-        for i, j in zip(*np.nonzero(np.triu(d - r[:, None] - r[None, :] <= tau + SLACK, 1))):
-            near.append((g, int(ids[i]), int(ids[j])))
-    cross = spark.createDataFrame(near, "group string, cell long, cell2 long")
-    cross = cross.unionByName(cells.select("group", "cell", F.col("cell").alias("cell2")))
-    sizes = cells.select("group", "cell", "blocks")
-    cross = cross.join(sizes, ["group", "cell"]).join(sizes.select("group", F.col("cell").alias("cell2"), F.col("blocks").alias("blocks2")), ["group", "cell2"])
+    cells = settle(cells.withColumn("subs", F.ceil(F.col("rows") / block).cast("int")), "sizes")
+    # a second level of pivots inside cells of over a block: about one in `block` rows of the cell, as a table that is joined by cell
+    tau = math.sqrt(2 - 2 * cosine)
+    large = celled.join(cells.where("subs > 1").select("group", "cell", "subs"), ["group", "cell"])
+    draw = F.pmod(F.xxhash64("id", "group", F.lit(13)), F.lit(block))
+    order = Window.partitionBy("group", "cell").orderBy("id")
+    inner = large.where(draw == 0).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_pivots).select("group", "cell", F.struct(F.col("k").cast("int").alias("sub"), "embedding").alias("p"))
+    inner = inner.groupBy("group", "cell").agg(F.collect_list("p").alias("pivots"))  # at most most_pivots in a cell
+    subbed = celled.join(inner, ["group", "cell"], "left").mapInPandas(_to_subcells, "id long, n long, group string, embedding array<double>, cell long, sub int, near double, centre array<double>")
+    subbed = settle(subbed, "subcells")
+    subs = subbed.groupBy("group", "cell", "sub").agg(F.count("*").alias("rows"), F.max("near").alias("radius"), F.any_value("centre").alias("centre"))
+    subs = settle(subs.withColumn("blocks", F.ceil(F.col("rows") / block).cast("int")), "blocks")
+    pairs = settle(_near_cells(spark, pivots, {(r["group"], r["cell"]): r["radius"] for r in cells.where("cell >= 0").collect()}, tau), "near")
+    pairs = pairs.unionByName(cells.select("group", "cell", F.col("cell").alias("cell2")))
+    other = subs.select("group", *[F.col(c).alias(f"{c}2") for c in ("cell", "sub", "radius", "centre", "blocks")])
+    cross = pairs.join(subs.drop("rows"), ["group", "cell"]).join(other, ["group", "cell2"]).where("cell < cell2 or sub <= sub2")
+    dot = F.aggregate(F.zip_with("centre", "centre2", lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
+    # what bounds prune is never copied; the vectors of cells without a pivot have no centre
+    cross = cross.where(F.col("centre").isNull() | F.col("centre2").isNull() | (apart - F.col("radius") - F.col("radius2") <= tau + 1e-6))
     cross = cross.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
-    cross = cross.where("cell < cell2 or b <= b2")
-    one, two = F.struct("cell", "b"), F.struct(F.col("cell2").alias("cell"), F.col("b2").alias("b"))
-    name = F.concat_ws("/", "group", "cell", "b", "cell2", "b2")
+    one, two = F.struct("cell", "sub", "b"), F.struct(F.col("cell2").alias("cell"), F.col("sub2").alias("sub"), F.col("b2").alias("b"))
+    cross = cross.where((F.col("cell") < F.col("cell2")) | (F.col("sub") < F.col("sub2")) | (F.col("b") <= F.col("b2")))
+    name = F.concat_ws("/", "group", "cell", "sub", "b", "cell2", "sub2", "b2")
     sides = F.when(one == two, F.array(F.struct(one.alias("at"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(one.alias("at"), F.lit(1).alias("side")), F.struct(two.alias("at"), F.lit(2).alias("side"))))
-    visits = cross.select("group", name.alias("pair"), F.explode(sides).alias("s")).select("group", "pair", "s.at.cell", "s.at.b", "s.side")
-    inside = celled.join(sizes, ["group", "cell"]).withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks").cast("long")).cast("int"))
-    inside = settle(inside.groupBy("group", "cell", "b").applyInPandas(_levels, "id long, n long, group string, embedding array<double>, cell long, b int, path array<int>"), "levels")
-    found = inside.join(visits, ["group", "cell", "b"]).select("pair", "side", "id", "n", "embedding", "path")
+    visits = cross.select("group", name.alias("pair"), F.explode(sides).alias("s")).select("group", "pair", "s.at.*", "s.side")
+    inside = subbed.join(subs.select("group", "cell", "sub", "blocks"), ["group", "cell", "sub"]).withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks").cast("long")).cast("int"))
+    inside = settle(inside.groupBy("group", "cell", "sub", "b").applyInPandas(_levels, "id long, n long, group string, embedding array<double>, cell long, sub int, b int, path array<int>"), "levels")
+    found = inside.join(visits, ["group", "cell", "sub", "b"]).select("pair", "side", "id", "n", "embedding", "path")
     found = settle(found.groupBy("pair").applyInPandas(lambda pdf: _visit(pdf, cosine), "id long, links long, root long"), "links")
     whole = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     summed = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -232,7 +285,7 @@ def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
     """A block's rows with the centre of each of their levels, as numbers of rows in the order of ids."""
     pdf = pdf.sort_values("id").reset_index(drop=True)
     paths = np.stack(nets(unit(pdf["embedding"])), 1).astype(np.int32)
-    return pdf[["id", "n", "group", "embedding", "cell", "b"]].assign(path=list(paths))
+    return pdf[["id", "n", "group", "embedding", "cell", "sub", "b"]].assign(path=list(paths))
 
 
 def _visit(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
