@@ -3,7 +3,7 @@
 Every vector's residual to its cell's centroid is rotated at random and kept as sign bits with two
 correction scalars. A query's rotated residual is quantised to four bits; popcounts of its bit planes with the
 packed codes estimate all inner products without bias. The error bound of the estimate decides which
-vectors are ranked again by their exact inner product.
+vectors are ranked again by their exact inner product. A query meets only cells that a measured recall calls for.
 """
 
 from __future__ import annotations
@@ -70,7 +70,22 @@ def centroids(sample: np.ndarray, cells: int, seed: int = 5, rounds: int = 4) ->
     return c
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, block: int = 4096, sample: int = 8192) -> DataFrame:
+def probes(sample: np.ndarray, cents: np.ndarray, k: int, share: float, most: int = 512) -> int:
+    """To how many of its best cells, by the centroids' inner products, a query has to go so that `share` of its k nearest
+    rows are there: measured on sampled rows against all of the sample, whose neighbours are farther than the table's."""
+    if len(sample) < 2:
+        return len(cents)
+    own = ((cents * cents).sum(1)[None, :] - 2 * sample @ cents.T).argmin(1)
+    some = np.arange(0, len(sample), max(1, len(sample) // most))
+    s = sample[some] @ sample.T
+    s[np.arange(len(some)), some] = -np.inf
+    near = np.argpartition(-s, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
+    place = np.argsort(np.argsort(-(sample[some] @ cents.T), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(place, own[near], axis=1).reshape(-1))
+    return int(needed[min(len(needed) - 1, int(np.ceil(share * len(needed))))]) + 1
+
+
+def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, block: int = 4096, sample: int = 8192, recall: float | None = 0.99, per_cell: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of `vectors` by inner product for each row with `is_query`.
 
     Candidates are all rows but the query's own id; ties go to the smaller vec_id; score is the inner product of
@@ -79,7 +94,9 @@ def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_
     that repeat an id with another vector are candidates of their own. Fewer than k candidates: all of them.
 
     Centroids, and a first bound on each query's k-th score, come from at most `sample` rows; every row is
-    indexed. Queries meet vectors in blocks of about `block` rows each, whatever a cell's share of all rows.
+    indexed. A query meets only its best cells, as many as hold the share `recall` of neighbours on the sample, and more
+    while those hold less than 4 k rows; with None it meets all cells. Cells have about `per_cell` rows; larger ones are cut into blocks of
+    about `block` rows, whatever a cell's share of all rows.
     """
     spark = vectors.sparkSession
     live = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"), is_query.alias("q")).where(usable("x") & F.col("id").isNotNull())
@@ -92,14 +109,9 @@ def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_
     for dim in counts:
         rows = [r for r in taken if r["dim"] == dim]
         x = np.array([r["x"] for r in rows]).reshape(len(rows), dim)
-        cells = max(1, min(256, counts[dim][0] // block))
-        model[dim] = (centroids(x, cells) if len(x) else np.zeros((1, dim)), x, np.array([r["id"] for r in rows], np.int64))
+        cents = centroids(x, max(1, min(1024, len(x) // 4, counts[dim][0] // per_cell))) if len(x) else np.zeros((1, dim))
+        model[dim] = (cents, x, np.array([r["id"] for r in rows], np.int64), probes(x, cents, k, recall) if recall else len(cents))
     sent = spark.sparkContext.broadcast(model)
-    salts = {dim: max(1, -(-n // block)) for dim, (n, _) in counts.items()}
-    asks = {dim: max(1, -(-int(nq or 0) // block)) for dim, (_, nq) in counts.items()}
-    at = lambda table: F.element_at(F.create_map(*[F.lit(v) for item in table.items() for v in item]) if table else F.create_map(F.lit(0), F.lit(1)), F.col("dim"))
-    dealt = live.withColumn("part", F.pmod(F.xxhash64("id", F.lit(4)), at(salts).cast("long")).cast("int"))
-    queries = live.where("q").withColumn("ask", F.pmod(F.xxhash64("id", F.lit(6)), at(asks).cast("long")).cast("int"))
 
     def index(batches):
         turns = {}
@@ -110,50 +122,62 @@ def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_
                 turn = turns.setdefault(dim, rotation(dim))
                 own = ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
                 codes, norm, align = encode(x, c[own], turn)
-                out.append(rows[["id", "x", "dim", "part"]].assign(cell=own.astype(np.int32), code=list(codes.view(np.int64)), norm=norm, align=align))
+                out.append(rows[["id", "x", "dim", "q"]].assign(cell=own.astype(np.int32), code=list(codes.view(np.int64)), norm=norm, align=align))
             yield pd.concat(out)
 
+    indexed = settle(live.mapInPandas(index, "id long, x array<double>, dim int, q boolean, cell int, code array<long>, norm double, align double"), "indexed")
+    held = {(r["dim"], r["cell"]): r["n"] for r in indexed.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}  # as many as there are cells
+    sizes = {dim: np.array([held.get((dim, c), 0) for c in range(len(model[dim][0]))]) for dim in counts}
+
     def bound(batches):
         for pdf in batches:
-            low = np.full(len(pdf), -np.inf)
+            low, where_to = np.full(len(pdf), -np.inf), np.empty(len(pdf), object)
             for dim, where in pdf.groupby("dim", sort=False).indices.items():
-                _, x, ids = sent.value[dim]
+                cents, x, ids, m = sent.value[dim]
+                q = np.stack(pdf["x"].iloc[where])
                 if len(x) > k:
-                    s = np.stack(pdf["x"].iloc[where]) @ x.T
+                    s = q @ x.T
                     s[pdf["id"].to_numpy()[where][:, None] == ids[None, :]] = -np.inf
                     low[where] = np.partition(s, -k, axis=1)[:, -k]
-            yield pdf[["id", "x", "dim", "ask"]].assign(low=low)
-
-    indexed = dealt.mapInPandas(index, "id long, x array<double>, dim int, part int, cell int, code array<long>, norm double, align double")
-    asked = queries.mapInPandas(bound, "id long, x array<double>, dim int, ask int, low double")
-    blank = lambda df, cols: df.select("dim", "part", "ask", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in cols])
-    cols = [("id", "long"), ("x", "array<double>"), ("cell", "int"), ("code", "array<long>"), ("norm", "double"), ("align", "double"), ("low", "double")]
-    every = lambda table: F.explode(F.sequence(F.lit(0), at(table) - 1))
-    met = blank(indexed.withColumn("ask", every(asks)), cols).unionByName(blank(asked.withColumn("part", every(salts)), cols))
-    best = met.groupBy("dim", "part", "ask").applyInPandas(lambda pdf: _search(pdf, sent.value, k), "query_id long, vec_id long, score double")
+                order = np.argsort(-(q @ cents.T), axis=1, kind="stable")
+                enough = (np.cumsum(sizes[dim][order], axis=1) < 4 * k).sum(1) + 1
+                for i, cells, n in zip(where, order, enough):
+                    where_to[i] = cells[: max(m, n)].astype(np.int32)
+            yield pdf[["id", "x", "dim"]].assign(low=low, cells=where_to)
+
+    blocks = spark.createDataFrame([(d, c, max(1, -(-n // block))) for (d, c), n in held.items()], "dim int, cell int, blocks int")
+    asked = indexed.where("q").select("id", "x", "dim").mapInPandas(bound, "id long, x array<double>, dim int, low double, cells array<int>")
+    asks = max([1, *(-(-int(nq or 0) // block) for _, nq in counts.values())])
+    ask = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(asks)).cast("int")
+    cols = [("id", "long"), ("x", "array<double>"), ("code", "array<long>"), ("norm", "double"), ("align", "double"), ("low", "double")]
+    blank = lambda df: df.select("dim", "cell", "part", "ask", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in cols])
+    part = F.pmod(F.xxhash64("id", F.lit(4)), F.col("blocks").cast("long")).cast("int")
+    table_side = indexed.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("part", part).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+    query_side = asked.withColumn("cell", F.explode("cells")).join(F.broadcast(blocks), ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("ask", ask)
+    met = blank(table_side).unionByName(blank(query_side))
+    best = met.groupBy("dim", "cell", "part", "ask").applyInPandas(lambda pdf: _search(pdf, sent.value, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _search(pdf: pd.DataFrame, model: dict, k: int) -> pd.DataFrame:
-    """The k best of a block of vectors for each query of a block of queries."""
+    """The k best of a block of a cell's vectors for each query of a block of queries."""
     asks = pdf[pdf["code"].isna()].reset_index(drop=True)
-    rows = pdf[pdf["code"].notna()].sort_values("cell")
+    rows = pdf[pdf["code"].notna()]
     out_q, out_v, out_s = [], [], []
     if len(asks) and len(rows):
         dim = int(pdf["dim"].iloc[0])
-        turn, cents = rotation(dim), model[dim][0]
+        turn, cent = rotation(dim), model[dim][0][int(pdf["cell"].iloc[0])]
         size = turn.shape[1]
         q, x, ids = np.stack(asks["x"]), np.stack(rows["x"]), rows["id"].to_numpy()
         codes, norm, align = np.stack(rows["code"]).view(np.uint64), rows["norm"].to_numpy(), rows["align"].to_numpy()
-        cell = rows["cell"].to_numpy(np.int64)
-        base = q @ cents.T
+        base = q @ cent
         length = np.sqrt((q * q).sum(1))
         error = WIDTH / np.sqrt(max(1, size - 1)) * norm * np.sqrt(np.maximum(0, 1 - align**2)) / align
         for at in range(0, len(q), 256):
             part = slice(at, at + 256)
             planes, low, step, total = quantise(q[part], turn)
-            guess = estimates(planes, low, step, total, codes, norm, align, size) + base[part][:, cell]
+            guess = estimates(planes, low, step, total, codes, norm, align, size) + base[part, None]
             # rounding a component to a level moves the estimate by at most half a step for each
             reach = error[None, :] * length[part, None] + 0.5 * step[:, None] * (norm / align)[None, :]
             floor = asks["low"].to_numpy()[part].copy()

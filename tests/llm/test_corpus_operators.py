@@ -160,10 +160,14 @@ def test_dual_traversal(case):
     a, b, i, j = op2_cover_tree.dual_traversal(s, t, False, 0.93)
     linked = x @ y.T >= 0.93
     assert (a == linked.sum(1)[s.rows]).all() and (b == linked.sum(0)[t.rows]).all() and linked[s.rows[i], t.rows[j]].all()
-    for level, r in zip(op2_cover_tree.nets(x), op2_cover_tree.LEVELS):
-        assert (np.linalg.norm(x - x[level], axis=1) <= r + 1e-12).all()
+    nets, radii = op2_cover_tree.nets(x), op2_cover_tree.LEVELS
+    assert (np.linalg.norm(x - x[nets[-1]], axis=1) <= radii[-1] + 1e-9).all()
+    for k, (level, r) in enumerate(zip(nets, radii)):
         own = np.unique(level)
-        assert (np.linalg.norm(x[own][:, None] - x[own][None], axis=2) + 9 * np.eye(len(own)) > 0).all()
+        assert (np.linalg.norm(x[own][:, None] - x[own][None], axis=2) + 9 * np.eye(len(own)) > r).all()  # of all parents
+        if k:
+            assert (np.linalg.norm(x[level] - x[nets[k - 1]], axis=1) <= radii[k - 1] + 1e-9).all() and (nets[k][nets[k - 1]] == nets[k - 1]).all()
+            assert len({(a, b) for a, b in zip(level, nets[k - 1])}) == len(own)  # a centre has one parent
 
 
 def test_shards(spark, docs):
@@ -197,6 +201,16 @@ def test_one_bit_search(spark):
         by_id = dict(live)
         assert np.allclose(own["score"], [np.dot(by_id[i], v) for i in own["vec_id"]], rtol=0, atol=1e-12)
         assert own[["score", "vec_id"]].values.tolist() == sorted(own[["score", "vec_id"]].values.tolist(), key=lambda x: (-x[0], x[1]))
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(40, 16))
+    x = centre[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    many = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {q: set(np.lexsort((np.arange(3000), -np.where(np.arange(3000) == q, -np.inf, x @ x[q])))[:20].tolist()) for q in range(0, 3000, 50)}
+    for recall in (0.99, None):
+        found = op4_one_bit_search.nearest(many, F.col("vec_id") % 50 == 0, recall=recall, per_cell=60).toPandas().groupby("query_id")["vec_id"].apply(set)
+        assert np.mean([len(found[q] & w) / 20 for q, w in want.items()]) >= (0.95 if recall else 0.995)
+    cents = op4_one_bit_search.centroids(x, 50)
+    assert 1 <= op4_one_bit_search.probes(x, cents, 20, 0.99) < 25 and op4_one_bit_search.probes(x, cents, 20, 0.5) <= op4_one_bit_search.probes(x, cents, 20, 0.99)
     assert hit / total >= 0.97 and not set(got["vec_id"]) & {180, 181, 182, 183, 184, 187}
     assert op4_one_bit_search.nearest(empty(spark, VECTORS), F.col("vec_id") % 5 == 0).count() == 0
 
