@@ -27,14 +27,24 @@ def random_split(*keys: Column, salt: str = "row") -> Column:
     return F.when(hash_int(F.lit(salt), *keys) % 4 == 0, "test").otherwise("train")
 
 
+def numbered_rows(df: DataFrame, keys: list[str], order: list[str], at: str = "at", parts: int = 64) -> DataFrame:
+    """Add the number (from 1) of each row within its key. No key is sorted in one task: its rows are parted by a hash of
+    the first column of `order`, numbered within the parts, and the parts' sizes give each its first number."""
+    rows = df.withColumn("_part", (hash_int(F.lit("part"), F.col(order[0])) % parts).cast("int"))
+    sizes = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "_part", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return rows.withColumn("_own", own).join(sizes, [*keys, "_part"]).withColumn(at, (F.col("_before") + F.col("_own")).cast("int")).drop("_part", "_own", "_before")
+
+
 def draw_values(df: DataFrame, keys: list[str], value: str, order: list[str], draws: int = 1000, salt: str = "draw") -> DataFrame:
     """`draws` values of each group, with replacement: keys, draw (from 1), value.
 
     Long form, without gathering a group: each row has its number within the group, each draw an index from a hash, and
     they meet in a join. `order` has to order a group's rows.
     """
-    own = Window.partitionBy(*keys)
-    numbered = df.select(*keys, F.col(value).alias("value"), F.row_number().over(own.orderBy(*order)).alias("at"))
+    numbered = numbered_rows(df, keys, order).select(*keys, F.col(value).alias("value"), "at")
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     wanted = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     wanted = wanted.withColumn("at", (hash_int(F.lit(salt), *[F.col(k) for k in keys], F.col("draw")) % F.col("n") + 1).cast("int"))

@@ -108,7 +108,7 @@ def beta_shapes(spark, d):
 
 @query(
     "geohash year draw value!",
-    f"""WITH yp AS ({duck(YIELD_PIXELS)}), n AS (SELECT geohash, year, value, row_number() OVER (PARTITION BY geohash, year ORDER BY id, value) AS at FROM yp), c AS (SELECT geohash, year, count(*) AS n FROM yp GROUP BY ALL),
+    f"""WITH yp AS ({duck(YIELD_PIXELS)}), n AS (SELECT geohash, year, value, row_number() OVER (PARTITION BY geohash, year ORDER BY ('0x' || substr(md5('part|' || id), 1, 8))::BIGINT % 64, id, value) AS at FROM yp), c AS (SELECT geohash, year, count(*) AS n FROM yp GROUP BY ALL),
     w AS (SELECT geohash, year, CAST(draw AS INT) AS draw, ('0x' || substr(md5('draw|' || geohash || '|' || year || '|' || draw), 1, 8))::BIGINT % n + 1 AS at FROM c, range(1, 21) r(draw))
 --
 SELECT w.geohash, w.year, w.draw, n.value FROM w JOIN n ON w.geohash = n.geohash AND w.year = n.year AND w.at = n.at""",
@@ -120,7 +120,7 @@ def yield_draws(spark, d):
 
 @query(
     "geohash year draw value!",
-    f"""WITH yp AS ({duck(YIELD_PIXELS)}), n AS (SELECT geohash, year, value, row_number() OVER (PARTITION BY geohash, year ORDER BY id, value) AS at FROM yp), c AS (SELECT geohash, year, count(*) AS n FROM yp GROUP BY ALL),
+    f"""WITH yp AS ({duck(YIELD_PIXELS)}), n AS (SELECT geohash, year, value, row_number() OVER (PARTITION BY geohash, year ORDER BY ('0x' || substr(md5('part|' || id), 1, 8))::BIGINT % 64, id, value) AS at FROM yp), c AS (SELECT geohash, year, count(*) AS n FROM yp GROUP BY ALL),
     w AS (SELECT geohash, year, CAST(draw AS INT) AS draw, ('0x' || substr(md5('draw|' || geohash || '|' || year || '|' || draw), 1, 8))::BIGINT % n + 1 AS at FROM c, range(1, 1001) r(draw))
 --
 SELECT w.geohash, w.year, w.draw, n.value FROM w JOIN n ON w.geohash = n.geohash AND w.year = n.year AND w.at = n.at""",

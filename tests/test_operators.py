@@ -144,6 +144,14 @@ def test_tasks_and_frame(spark):
     assert tasks.grid(spark, a=[1, 2], b=["x", "y", "z"]).count() == 6
 
 
+def test_exact_median(spark):
+    import statistics
+
+    for values in ([], [3.0], [1.0, 2.0], [5.0] * 7 + [1.0, 9.0], [float(i * i % 97) for i in range(1000)], [i / 7 for i in range(4001)]):
+        rows = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+        assert evaluate.exact_median(rows, "v").first()["median"] == (statistics.median(values) if values else None)
+
+
 def test_selection_and_features(spark):
     assert evaluate.feature_columns(["year", "tmaxMean1", "tmaxCount1", "geohash", "yieldMean"], ("year", "geohash"), ("yield",), exclude_counts=True) == ["tmaxMean1"]
     sweep = spark.createDataFrame([("all attrs", 2, 0.0, 0.0, 1, 0.1, 0.1), ("all attrs", 4, 0.1, 0.0, 1, 0.2, 0.1), ("temp", 4, 0.1, 0.0, 1, 0.01, 0.9)], "block string, layers int, l2Reg double, dropout double, allowCount int, validMean double, validStd double")
