@@ -222,7 +222,7 @@ class Field:
 CONTENT = ["<article>{}</article>", "<main>{}</main>", "<main><article class='post'>{}</article></main>", '<div class="content">{}</div>', '<div class="post-body entry-content">{}</div>', '<div id="main"><div class="story">{}</div></div>', '<section class="article-text">{}</section>', '<div class="article">{}</div>', '<div id="content">{}</div>', '<div class="main"><div class="text">{}</div></div>']
 FURNITURE = {
     "links": ["<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<ul class="nav navbar">{}</ul>', '<div class="breadcrumb">{}</div>', '<div class="related"><h3>Related</h3><ul>{}</ul></div>', '<div class="share social">{}</div>', '<div class="tags">{}</div>', '<div class="pagination">{}</div>', '<aside class="sidebar"><ul>{}</ul></aside>'],
-    "prose": ["<aside><p>{}</p></aside>", '<div class="ad">{}</div>', '<div class="sidebar"><h4>{}</h4><p>{}</p></div>', '<div class="ads banner"><p>{}</p></div>', '<div class="cookie-notice">We use cookies. {}</div>', '<div class="notice alert"><p>{}</p></div>', '<div class="promo sponsored"><p>{}</p></div>', '<form action="/s"><label>Newsletter</label><p>{}</p></form>', '<div class="newsletter">Subscribe {}</div>', '<div id="cookie-banner" role="dialog"><p>{}</p></div>', '<div class="popup modal"><p>{}</p></div>', '<aside class="widget"><h3>{}</h3><p>{}</p></aside>'],
+    "prose": ["<aside><p>{}</p></aside>", '<div class="ad">{}</div>', '<div class="advert">{}</div>', '<div class="advertisement"><p>{}</p></div>', '<div class="sidebar"><h4>{}</h4><p>{}</p></div>', '<div class="ads banner"><p>{}</p></div>', '<div class="cookie-notice">We use cookies. {}</div>', '<div class="notice alert"><p>{}</p></div>', '<div class="promo sponsored"><p>{}</p></div>', '<form action="/s"><label>Newsletter</label><p>{}</p></form>', '<div class="newsletter">Subscribe {}</div>', '<div id="cookie-banner" role="dialog"><p>{}</p></div>', '<div class="popup modal"><p>{}</p></div>', '<aside class="widget"><h3>{}</h3><p>{}</p></aside>'],
     "remarks": ['<section class="comments"><h2>Comments</h2>{}</section>', '<div id="comments"><ol class="commentlist">{}</ol></div>', '<div class="comment-list">{}</div>', '<section id="disqus" class="discussion replies">{}</section>'],
     "top": ["<header><h2>{}</h2></header>", '<div class="header"><p>{}</p></div>', '<header class="site-header"><span>{}</span></header>', '<div id="masthead"><h1>{}</h1></div>'],
     "foot": ["<footer>&copy; {}</footer>", '<div class="footer"><p>&copy; {}</p></div>', '<div id="footer"><p>All rights reserved. {}</p></div>', '<footer><p>Contact Privacy Terms</p><p>{}</p></footer>'],
@@ -251,6 +251,8 @@ def lay_out(rng: np.random.Generator, title: str, texts: list[str], other: list[
         inner += shape.format(MARK + esc(t))
         if rng.random() < 0.15:
             inner += furniture(pick(["prose", "prose", "links", "remarks"]))
+    if rng.random() < 0.08:  # some pages are nothing but their text
+        return pick(["{}", "<body>{}</body>", "<div>{}</div>"]).format(inner)
     before = "".join(furniture(k) for k in ("top", "links", "prose") if rng.random() < 0.6)
     after = "".join(furniture(k) for k in ("prose", "links", "remarks", "prose", "foot") if rng.random() < 0.6)
     page = before + pick(CONTENT).format(inner) + after
