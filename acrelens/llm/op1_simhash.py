@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrelens.llm.shared import components, settle, table
+from acrelens.llm.shared import components, discard, settle, table
 
 PIECE = 1 << 15  # shingles that are hashed at a time
 
@@ -100,7 +100,9 @@ def near_links(fps: DataFrame, radius: int = 4, count: int = 3) -> DataFrame:
     probes = [_key(F.col("fp"), i, lo, bits).bitwiseXOR(F.lit(m)) for i, (lo, bits, r) in parts for m in _ball(bits, r)]
     left = labelled.select("fp", "c", F.explode(F.array(*probes)).alias("key"))
     found = left.join(right, "key").where((F.col("c") < F.col("c2")) & close(F.col("fp"), F.col("fp2")))
-    return star.unionByName(found.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct())
+    out = star.unionByName(found.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct())
+    out.reads = (star, labelled)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, count: int = 3) -> DataFrame:
@@ -116,7 +118,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = settle(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), "t").drop("t"), "fps")
     fps = settle(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    known = components(near_links(fps.select("fp", F.col("fp").alias("id")), radius, count))
+    links = near_links(fps.select("fp", F.col("fp").alias("id")), radius, count)
+    known = components(links)
+    for used in links.reads:
+        discard(used)
     named = fps.join(known.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
     # most classes are one fingerprint; those of more are met again by their class
     least = named.groupBy("class").agg(F.min("least").alias("component_id"))

@@ -312,3 +312,15 @@ def _visit(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of a label by plain SQL, and components by following links.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS i, vec_id AS j FROM u UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+c AS (SELECT i, min(j) AS c FROM r GROUP BY i), n AS (SELECT i, count(*) AS n FROM l GROUP BY i)
+SELECT v.vec_id::BIGINT AS vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, v.vec_id)::BIGINT AS component_id, coalesce(c, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN c ON v.vec_id = c.i LEFT JOIN n ON v.vec_id = n.i
+"""
