@@ -76,6 +76,14 @@ def field_deltas(long: DataFrame, means: DataFrame) -> DataFrame:
     return joined.select("geohash", "year", "field", (F.col("value") - F.col("mean")).alias("value"), F.min(F.col("mean").isNotNull()).over(own).alias("valid"))
 
 
+def own_deltas(long: DataFrame) -> DataFrame:
+    """field_deltas() against the averages of the same rows: one exchange by cell and field, whose rows are a cell's years."""
+    mean = F.avg(finite(F.col("value"))).over(Window.partitionBy("geohash", "field"))
+    rows = long.select("geohash", "year", "field", "value", mean.alias("mean"))
+    own = Window.partitionBy("geohash", "year")
+    return rows.select("geohash", "year", "field", (F.col("value") - F.col("mean")).alias("value"), F.min(F.col("mean").isNotNull()).over(own).alias("valid"))
+
+
 def z_scores(long: DataFrame, distributions: DataFrame) -> DataFrame:
     """Each value as a z-score of its field. A field list is as long as the frame is wide, so its join broadcasts a bounded table."""
     return long.join(F.broadcast(distributions), "field", "left").select("geohash", "year", "field", z_score(F.col("value"), F.col("mean"), F.col("std")).alias("z"))

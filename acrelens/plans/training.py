@@ -303,8 +303,7 @@ def field_deltas_all(spark, d):
 
 
 def _deltas(spark, d):
-    long = _fields(spark, d)
-    return frame.field_deltas(long, frame.averages(long)).where("value is not null")
+    return frame.own_deltas(_fields(spark, d)).where("value is not null")
 
 
 @query("field mean! std!", _LONG + "\n--\nSELECT field, avg(value) AS mean, stddev_samp(value) AS std FROM lf WHERE value IS NOT NULL GROUP BY field")
@@ -359,7 +358,7 @@ SELECT count(*) AS rows, avg(CASE WHEN valid THEN 0e0 ELSE 1e0 END) AS invalid,
 def frame_gates(spark, d):
     """Reports of the quality gates on partial summaries, whose cell-years repeat, and on the deltas' valid flag."""
     long = _fields(spark, d)
-    valid = frame.field_deltas(long, frame.averages(long)).groupBy("geohash", "year").agg(F.bool_and("valid").alias("valid"))
+    valid = frame.own_deltas(long).groupBy("geohash", "year").agg(F.bool_and("valid").alias("valid"))
     parts = distributions.summarize(view(spark, d, YIELD_PIXELS).where("value > 0"), ["geohash", "year", "part"])
     rows = parts.join(valid, ["geohash", "year"], "left").withColumn("valid", F.coalesce("valid", F.lit(False))).withColumn("complete", F.col("skew").isNotNull())
     return rows.agg(F.count("*").alias("rows")).crossJoin(gates.delta_gate(rows)).crossJoin(gates.missing_gate(rows, "skew")).crossJoin(gates.unique_gate(rows, ["geohash", "year"]))

@@ -139,6 +139,9 @@ def test_tasks_and_frame(spark):
     cell = wide.where("geohash = 'a' and year = 2005").first()
     assert cell["tmaxMean3"] == 20 and cell["climateCounts"] == 1 and cell["tmaxMean4"] is None and cell["baselineYieldMean"] == 1.0
     assert [r["geohash"] for r in frame.strays(yields, climate).collect()] == ["z"]
+    long = frame.lengthen(wide, ["geohash", "year"], ["tmaxMean3", "yieldMean"])
+    same = lambda df: sorted(map(str, df.collect()))
+    assert same(frame.own_deltas(long)) == same(frame.field_deltas(long, frame.averages(long)))
     ahead = frame.future_frame(climate).first()
     assert ahead["yieldMean"] == -1 and ahead["tmaxMax3"] == 22
     assert tasks.grid(spark, a=[1, 2], b=["x", "y", "z"]).count() == 6
