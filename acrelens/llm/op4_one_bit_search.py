@@ -188,6 +188,10 @@ def _search(pdf: pd.DataFrame, model: dict, k: int) -> pd.DataFrame:
                 found = found[ids[found] != own]
                 # summed in one fixed order, whatever else is ranked along with it
                 score = np.einsum("ij,j->i", x[found], q[at + i])
+                least = asks["low"].iloc[at + i]  # what k sampled rows reach, less the rounding of another order of sums
+                if np.isfinite(least):
+                    good = score >= least - 1e-9 * abs(least) - 1e-12 * length[at + i]
+                    found, score = found[good], score[good]
                 if len(found) > k:
                     best = score >= np.partition(score, -k)[-k]
                     found, score = found[best], score[best]
