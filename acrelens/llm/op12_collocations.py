@@ -197,7 +197,7 @@ def _counted(longest: int):
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)]):
                     phrase = ids_of(places[a], int(lengths[a]))
                     found[phrase] = found.get(phrase, 0) + b - a
-                text = [w.decode() for w in words]
+                text = ["", *[w.decode() for w in words[1:]]]  # none for GAP
                 out = [(row.lang, len(p), " ".join([text[i] for i in p]), n) for p, n in found.items()]
                 yield pd.DataFrame(out, columns=["lang", "size", "phrase", "a"])
 

@@ -16,6 +16,7 @@ MODULES = {
     "op9_best_fit_packing": "op9_packing",
     "op10_toxicity": "op10_toxicity",
     "op12_collocations": "op12_collocations",
+    "op13_hard_negatives": "op13_hard_negatives",
 }
 
 
