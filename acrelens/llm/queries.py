@@ -15,6 +15,7 @@ MODULES = {
     "op8_context_mixing_lm": "op8_mixing_lm",
     "op9_best_fit_packing": "op9_packing",
     "op10_toxicity": "op10_toxicity",
+    "op11_language_id": "op11_language_id",
     "op12_collocations": "op12_collocations",
     "op13_hard_negatives": "op13_hard_negatives",
 }
