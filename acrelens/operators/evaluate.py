@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrelens.config import MEAN_WEIGHT, PIXELS_PER_ROW, STD_WEIGHT
+from acrelens.sources.tables import scratch
 
 
 def feature_columns(columns: list[str], blocked: tuple = (), words: tuple = (), exclude_counts: bool = False) -> list[str]:
@@ -35,39 +38,72 @@ def plain_errors(df: DataFrame, keys: list[str], predicted: str, actual: str) ->
     return df.groupBy(*keys).agg(F.avg(F.abs(F.col(predicted) - F.col(actual))).alias("mae"))
 
 
-def exact_median(df: DataFrame, value: str) -> DataFrame:
-    """One row, median: the exact median of `value`, nulls and NaN left out, null for none.
+def order_bits(value: Column) -> Column:
+    """64 bits of a double as a long that sorts as the doubles do; both zeros are one."""
+    raw = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+    return F.when(raw < 0, raw.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(raw)
+
+
+def _from_order_bits(n: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", n if n >= 0 else n ^ ((1 << 63) - 1)))[0]
+
+
+def exact_medians(df: DataFrame, values: list[str], step: int = 13) -> dict[str, float | None]:
+    """The exact median of each column, nulls and NaN left out; None where nothing is left.
 
-    An approximate percentile brackets it, its error being known; only the values in the bracket, counted by value,
-    a few ten-thousandths of the rows, are then put in order.
+    Found by selection without ordering rows: a histogram of the leading bits tells in which range the middle ranks lie, the next
+    `step` bits of that range are counted, and so on until a range holds one value. So at most 2 x 2^step counts of a column
+    reach the driver in each of at most 64 / step rounds, whatever the rows hold. The bits are written once and read each round.
     """
-    v = F.col(value)
-    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
-    ends = rows.agg(F.count("*").alias("n"), F.percentile_approx("v", [0.4998, 0.5002], 10_000).alias("r"))
-    near = rows.crossJoin(F.broadcast(ends)).where(F.col("v") <= F.col("r")[1])
-    place = F.when(F.col("v") >= F.col("r")[0], F.col("v"))  # what is below the bracket is one group
-    counts = near.groupBy(place.alias("v"), "n").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy(F.asc_nulls_first("v")))
-    middle = counts.withColumn("upto", upto).where("v is not null")
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
-    return middle.agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+    each = F.array(*[F.struct(F.lit(i).alias("c"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)])
+    rows = df.select(F.explode(each).alias("x")).select("x.c", "x.v").where("v is not null and not isnan(v)")
+    path = scratch(df.sparkSession, "bits")
+    rows.select("c", order_bits(F.col("v")).alias("bits")).write.parquet(path)
+    rows = df.sparkSession.read.schema("c int, bits long").parquet(path)
+    sizes = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count("*").alias("n")).collect()}
+    # open ranges: (column, leading bits) -> ranks within that are sought, from 0
+    open_ = {(c, 0): sorted({(n - 1) // 2, n // 2}) for c, n in sizes.items()}
+    found: dict[int, list[float]] = {c: [] for c in sizes}
+    known, total = 0, {c: len(ranks) for (c, _), ranks in open_.items()}
+    while open_:
+        left = max(0, 64 - known - step)
+        lead = (lambda at: F.shiftright("bits", at) + F.lit(1 << (63 - at))) if known else None
+        within = reduce(Column.__or__, [(F.col("c") == c) & (lead(64 - known) == p) for c, p in open_]) if lead else F.lit(True)
+        place = F.shiftright("bits", left) + F.lit(1 << (63 - left)) if left else F.col("bits")
+        counts = rows.where(within).groupBy("c", place.alias("p")).agg(F.count("*").alias("n"), F.min("bits").alias("lo"), F.max("bits").alias("hi")).collect()
+        following: dict = {}
+        for (c, prefix), ranks in open_.items():
+            inside = lambda r: not known or ((r["lo"] >> (64 - known)) + (1 << (known - 1)) == prefix)
+            before = 0
+            for r in sorted((r for r in counts if r["c"] == c and inside(r)), key=lambda r: r["p"]):
+                for rank in ranks:
+                    if before <= rank < before + r["n"]:
+                        if r["lo"] == r["hi"]:
+                            found[c].append(_from_order_bits(r["lo"]))
+                        else:
+                            following.setdefault((c, r["p"]), []).append(rank - before)
+                before += r["n"]
+        open_, known = following, min(64, known + step)
+    assert all(len(found[c]) == total[c] for c in found)
+    return {v: sum(found[i]) / len(found[i]) if found.get(i) else None for i, v in enumerate(values)}
+
+
+def exact_median(df: DataFrame, value: str) -> DataFrame:
+    """One row, median: that of exact_medians()."""
+    return df.sparkSession.createDataFrame([(exact_medians(df, [value])[value],)], "median double")
 
 
 def post_hoc(residuals: DataFrame, approximate: bool = False) -> DataFrame:
     """Weighted mean and plain median absolute residuals of the test rows, and their weight and share."""
-    w, test = F.col("yieldObservations") / PIXELS_PER_ROW, F.col("setAssign") == "test"
-    each, medians = [], []
-    for c in ("meanResidual", "stdResidual"):
-        a = F.when(test, F.abs(c))
-        each.append(F.try_divide(F.sum(a * w), F.sum(F.when(test, w))).alias(f"{c}Mae"))
-        if approximate:
-            each.append(F.percentile_approx(a, 0.5).alias(f"{c}Mdae"))
-        else:
-            medians.append(exact_median(residuals.select(a.alias("a")), "a").withColumnRenamed("median", f"{c}Mdae"))
-    out = residuals.agg(*each, F.sum(F.when(test, w)).alias("testWeight"), F.try_divide(F.sum(F.when(test, w)), F.sum(w)).alias("testShare"))
-    for m in medians:  # one row each
-        out = out.crossJoin(m)
-    return out
+    w, test, names = F.col("yieldObservations") / PIXELS_PER_ROW, F.col("setAssign") == "test", ("meanResidual", "stdResidual")
+    size = lambda c: F.when(test, F.abs(c))
+    each = [F.try_divide(F.sum(size(c) * w), F.sum(F.when(test, w))).alias(f"{c}Mae") for c in names]
+    if approximate:
+        each += [F.percentile_approx(size(c), 0.5).alias(f"{c}Mdae") for c in names]
+    else:
+        medians = exact_medians(residuals.select(*[size(c).alias(c) for c in names]), list(names))
+        each += [F.max(F.lit(medians[c]).cast("double")).alias(f"{c}Mdae") for c in names]
+    return residuals.agg(*each, F.sum(F.when(test, w)).alias("testWeight"), F.try_divide(F.sum(F.when(test, w)), F.sum(w)).alias("testShare"))
 
 
 def selection_score() -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acrelens.config import PIXELS_PER_ROW, SUBUNITS
 from acrelens.functions.scalar import hash_int
+from acrelens.sources.tables import scratch
 
 
 def sweep_split(year: Column) -> Column:
@@ -38,6 +39,26 @@ def numbered_rows(df: DataFrame, keys: list[str], order: list[str], at: str = "a
     return rows.withColumn("_own", own).join(sizes, [*keys, "_part"]).withColumn(at, (F.col("_before") + F.col("_own")).cast("int")).drop("_part", "_own", "_before")
 
 
+def placed_rows(df: DataFrame, order: list[str], at: str = "at") -> DataFrame:
+    """A written table of `df`'s rows with the place (from 0) of each in the order of `order`, whatever their number.
+
+    The rows are sorted by ranges and written with their number within a range; how many the ranges before hold, a figure for
+    each range, gives the rest. Writing fixes the ranges, so that both see the same ones.
+    """
+    path = scratch(df.sparkSession, "placed")
+    numbered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    numbered.select("*", F.shiftright("_id", 33).alias("_range")).write.parquet(path)
+    rows = df.sparkSession.read.schema(numbered.schema.add("_range", "long")).parquet(path)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n")).collect()  # as many as there are shuffle partitions
+    before, begin = 0, []
+    for r in sorted(sizes, key=lambda r: r["_range"]):
+        begin.append((r["_range"], before))
+        before += r["_n"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(begin, "_range long, _before long"))
+    own = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(starts, "_range").withColumn(at, F.col("_before") + own).drop("_range", "_before", "_id")
+
+
 def draw_values(df: DataFrame, keys: list[str], value: str, order: list[str], draws: int = 1000, salt: str = "draw") -> DataFrame:
     """`draws` values of each group, with replacement: keys, draw (from 1), value.
 
