@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,45 @@ def with_baseline(yields: DataFrame, cell: str = "geohash") -> DataFrame:
     w = Window.partitionBy(cell)
     n = F.sum("count").over(w)
     return yields.withColumn("baselineYieldMean", F.try_divide(F.sum(F.col("mean") * F.col("count")).over(w), n)).withColumn("baselineYieldStd", F.try_divide(F.sum(F.col("std") * F.col("count")).over(w), n))
+
+
+STATE = ("n", "mean", "m2", "m3", "m4", "min", "max")
+
+
+def state(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """A summary that can be merged exactly: n, mean, the sums m2, m3, m4 of the powers of what the values differ from it, min and max.
+
+    Nulls and NaN are left out, groups without a value are absent.
+    """
+    v = F.col(value)
+    base = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("_v"), F.skewness(v).alias("_s"), F.kurtosis(v).alias("_k"), F.min(v).alias("min"), F.max(v).alias("max"))
+    var, n = F.col("_v"), F.col("n")
+    spread = lambda x: F.when(var > 0, x).otherwise(F.lit(0.0))
+    return base.select(*keys, "n", "mean", (var * n).alias("m2"), spread(F.col("_s") * F.pow(var, F.lit(1.5)) * n).alias("m3"), spread((F.col("_k") + 3) * var * var * n).alias("m4"), "min", "max")
+
+
+def merge_states(states: DataFrame, keys: list[str]) -> DataFrame:
+    """The state of all values together from states of parts of them, by key; merged states merge again, in any grouping.
+
+    Two aggregates that combine before their shuffles: the common mean, then each part's sums moved to it. States of
+    n = 0 or null are left out; a hot key is one row a task.
+    """
+    parts = states.where("n > 0").select(*keys, *STATE)
+    means = parts.groupBy(*keys).agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("_mean"))
+    same = [F.col(f"p.`{k}`").eqNullSafe(F.col(f"q.`{k}`")) for k in keys]
+    moved = parts.alias("p").join(means.alias("q"), reduce(Column.__and__, same)) if keys else parts.alias("p").crossJoin(F.broadcast(means.alias("q")))  # one row
+    n, m2, m3, m4, d = F.col("n"), F.col("m2"), F.col("m3"), F.col("m4"), F.col("mean") - F.col("_mean")
+    out = moved.groupBy(*[F.col(f"p.`{k}`").alias(k) for k in keys]).agg(
+        F.sum(n).alias("n"), F.first("_mean").alias("mean"), F.sum(m2 + n * d * d).alias("m2"), F.sum(m3 + 3 * d * m2 + n * d * d * d).alias("m3"),
+        F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d).alias("m4"), F.min("min").alias("min"), F.max("max").alias("max"),
+    )
+    return out.select(*keys, *STATE)
+
+
+def finish_state(states: DataFrame, keys: list[str], with_range: bool = True) -> DataFrame:
+    """The columns of summarize() from states: mean, std (population), [min, max,] count, skew, kurtosis (excess); null shape where all values are equal."""
+    n, m2 = F.col("n"), F.col("m2")
+    varied = lambda x: F.when(m2 > 0, x)
+    ends = ["min", "max"] if with_range else []
+    skew, kurtosis = varied(F.sqrt(n) * F.col("m3") / F.pow(m2, F.lit(1.5))), varied(n * F.col("m4") / (m2 * m2) - 3)
+    return states.select(*keys, "mean", F.sqrt(m2 / n).alias("std"), *ends, n.alias("count"), skew.alias("skew"), kurtosis.alias("kurtosis"))

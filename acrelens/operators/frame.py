@@ -12,9 +12,15 @@ from acrelens.operators.distributions import with_baseline
 STATS = ("mean", "std", "min", "max", "count")
 
 
-def restrict(df: DataFrame, cells: DataFrame, key: str = "geohash") -> DataFrame:
-    """Rows of the wanted cells. How the list travels is left to adaptive execution, which knows its size."""
-    return df.join(cells.select(key).distinct(), key, "left_semi")
+def restrict(df: DataFrame, cells: DataFrame, key: str = "geohash", region: str | None = None) -> DataFrame:
+    """Rows of the wanted cells. How the list travels is left to adaptive execution, which knows its size.
+
+    `region` is the column by which `df`'s table is stored in parts, the cell's prefix (tables.write_by_region()): then a short list prunes
+    the scan to the parts of its cells while the job runs.
+    """
+    if region is None:
+        return df.join(cells.select(key).distinct(), key, "left_semi")
+    return df.join(cells.select(key, region).distinct(), [region, key], "left_semi")
 
 
 def combine(yields: DataFrame, climate: DataFrame) -> DataFrame:
@@ -47,11 +53,10 @@ def widen(long: DataFrame, attrs: tuple = tuple(ATTRIBUTES.values()), months=MON
 
 def future_frame(climate: DataFrame, **kwargs) -> DataFrame:
     """Frame of a future condition: climate alone, with -1 for the unknown response."""
-    unknown = climate.groupBy("geohash", "year").agg(F.lit(-1.0).alias("mean"), F.lit(-1.0).alias("std"), F.lit(-1).cast("long").alias("count"))
-    blank = unknown.select("geohash", "year", *[F.lit(-1.0).alias(c) for c in ("baselineYieldMean", "baselineYieldStd", "yieldMean", "yieldStd")], F.lit(-1).cast("long").alias("yieldObservations"))
-    months = climate.select("geohash", "year", "month", "attr", *[F.col(c).alias(f"c_{c}") for c in STATS])
+    unknown = [F.lit(-1.0).alias(c) for c in ("baselineYieldMean", "baselineYieldStd", "yieldMean", "yieldStd")]
+    months = climate.select("geohash", "year", *unknown, F.lit(-1).cast("long").alias("yieldObservations"), "month", "attr", *[F.col(c).alias(f"c_{c}") for c in STATS])
     own = Window.partitionBy("geohash", "year")
-    return widen(blank.join(months, ["geohash", "year"]).withColumn("climateCounts", F.count("attr").over(own)), **kwargs)
+    return widen(months.withColumn("climateCounts", F.count("attr").over(own)), **kwargs)
 
 
 def lengthen(wide: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:

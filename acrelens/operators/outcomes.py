@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def wide_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> DataFrame:
-    """U of the sample `first` (a condition) against the other, and z with tie and continuity correction.
+    """U of the sample `first` (a condition) against the other, z with tie and continuity correction, and whether values tie.
 
     Equal values are summed up before they are ranked, so the ranks' window sees each value once; mid-ranks follow
     from running counts. Null for an empty sample; z is 0 if all values are equal.
@@ -58,7 +60,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> D
     off = u - n1 * n2 / 2
     z = F.when(sd > 0, (off - F.signum(off) * F.least(F.abs(off), F.lit(0.5))) / sd).otherwise(F.lit(0.0))
     ok = (n1 > 0) & (n2 > 0)
-    return sums.select(*keys, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), F.when(ok, u).alias("u"), F.when(ok, z).alias("z"))
+    return sums.select(*keys, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), F.when(ok, u).alias("u"), F.when(ok, z).alias("z"), (F.col("ties") > 0).alias("tied"))
 
 
 def two_sided_p(z: Column | str) -> Column:
@@ -71,9 +73,51 @@ def two_sided_p(z: Column | str) -> Column:
     return t * F.exp(poly - x * x)
 
 
+EXACT = 8  # size of the smaller sample up to which p is exact, if no values tie
+
+
+def u_counts(m: int, n: int) -> np.ndarray:
+    """In how many of the orders of m and n distinct values each U from 0 to its middle, m n / 2, occurs, as doubles.
+
+    They are the coefficients of a product of (1 - q^(n + i)) / (1 - q^i) over i up to m, one factor after the other.
+    """
+    out = np.zeros(m * n // 2 + 1)
+    out[0] = 1
+    for i in range(1, m + 1):
+        out[n + i :] -= out[: max(len(out) - n - i, 0)].copy()
+        for r in range(min(i, len(out))):
+            out[r::i] = np.cumsum(out[r::i])
+    return out
+
+
+def exact_p(n1: Column | str, n2: Column | str, u: Column | str, ties: Column) -> Column:
+    """Exact two-sided p of U, null where the samples tie (`ties`), one is empty, or both are larger than EXACT.
+
+    One number for each pair of sizes and U, worked out in vectors; rows of other sizes cost nothing.
+    """
+
+    @F.pandas_udf("double")
+    def run(rows: pd.DataFrame) -> pd.Series:
+        out = np.full(len(rows), np.nan)
+        low, high = rows[["a", "b"]].min(axis=1).to_numpy(), rows[["a", "b"]].max(axis=1).to_numpy()
+        ok = rows["open"].to_numpy(bool) & (low >= 1) & (low <= EXACT)
+        for m, n in set(zip(low[ok].tolist(), high[ok].tolist())):
+            mine = np.flatnonzero(ok & (low == m) & (high == n))
+            tail = np.cumsum(u_counts(int(m), int(n))) / math.comb(int(m + n), int(m))
+            x = rows["u"].to_numpy()[mine]
+            out[mine] = np.minimum(1.0, 2 * tail[np.minimum(x, m * n - x).astype(int)])
+        return pd.Series(out)
+
+    number = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    open_ = F.coalesce(~ties & number(u).isNotNull(), F.lit(False))
+    found = run(F.struct(number(n1).alias("a"), number(n2).alias("b"), F.coalesce(number(u), F.lit(0.0)).alias("u"), open_.alias("open")))
+    return F.when(open_, F.nanvl(found, F.lit(None).cast("double")))
+
+
 def trial_outcomes(units: DataFrame, keys: list[str], level: str, std_level: str, carry: tuple = ()) -> DataFrame:
     """Of simulated units (predicted, baseline, adapted): each kind's Change, Claims and Loss at the loss level, the same at
-    std_level (ClaimsStd, LossStd), p of predicted against baseline and pAdapted against adapted, and units, their number.
+    std_level (ClaimsStd, LossStd), p of predicted against baseline and pAdapted against adapted, and units, their number. p is exact for
+    up to EXACT units without ties, else from the normal approximation.
 
     A delta is a claim at or below -level; without claims the loss is 0. The units go through once: their deltas
     are counted by value, ranked by running counts, and everything is summed by key. `carry` are columns that a key fixes.
@@ -98,5 +142,8 @@ def trial_outcomes(units: DataFrame, keys: list[str], level: str, std_level: str
         off = F.sum(F.col(f"_{other}") * F.col("predicted")) - n1 * (n1 + 1) / 2 - n1 * n2 / 2
         spread = F.sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - F.sum(t * t * t - t) / ((n1 + n2) * (n1 + n2 - 1))))
         z = F.when(spread > 0, (off - F.signum(off) * F.least(F.abs(off), F.lit(0.5))) / spread).otherwise(F.lit(0.0))
-        out.append(two_sided_p(z).alias(name))
-    return ranked.groupBy(*own).agg(*out)
+        tied = F.max(t) > 1
+        out += [two_sided_p(z).alias(f"_{name}"), (off + n1 * n2 / 2).alias(f"_{name}U"), tied.alias(f"_{name}Tied")]
+    sums, tests = ranked.groupBy(*own).agg(*out), ("p", "pAdapted")
+    exact = [F.coalesce(exact_p("units", "units", f"_{n}U", F.col(f"_{n}Tied")), F.col(f"_{n}")).alias(n) for n in tests]
+    return sums.select(*[c for c in sums.columns if not c.startswith(tuple(f"_{n}" for n in tests))], *exact)

@@ -127,6 +127,11 @@ def simulated(spark, d):
     return trials.simulate_units(units, _TRIAL, trials.residual_pool(test_residuals(spark, d)))
 
 
+#: how often each U occurs for samples of up to 8 and up to so many distinct values, by recurrence, and its two-sided p
+U_TABLE = """uf AS (SELECT 0 AS s, 0 AS m, 0 AS n, 0 AS u, 1::DOUBLE AS c UNION ALL SELECT s + 1, m + a, n + b, u + a * n, sum(c) FROM uf, (VALUES (1, 0), (0, 1)) d(a, b) WHERE m + a <= 8 AND n + b <= {0} GROUP BY ALL),
+    ut AS (SELECT m, n, u, least(1, 2 * sum(c) OVER (PARTITION BY m, n ORDER BY u) / sum(c) OVER (PARTITION BY m, n)) AS p FROM uf)"""
+
+
 def _md5_sql(k: int) -> str:
     return f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
 
@@ -136,7 +141,7 @@ _KEY = "geohash || '|' || year || '|' || threshold || '|' || size || '|' || poli
 _MOVED = f"rm[{_md5_sql(2)} % len(rm) + 1] AS dm, rs[{_md5_sql(3)} % len(rs) + 1] AS ds"
 _ERFC = lambda z: "(SELECT t * exp(-x * x + " + " + t * (".join(f"({c})" for c in outcomes.ERFC) + ")" * (len(outcomes.ERFC) - 1) + f") FROM (SELECT abs({z}) / sqrt(2e0) AS x, 1 / (1 + abs({z}) / sqrt(2e0) / 2) AS t))"
 _UNIT_SQL = "sz AS (SELECT list_sort(list(DISTINCT px)) AS l FROM (" + "SELECT acres * (17564481 / 3906250e0) AS px FROM units WHERE crop = 'Corn' AND \"policyType\" IN ('YP', 'RP') AND acres > 0))"
-_SIMULATED = f"""{_TASKS}, {_EQUIVALENT}, units AS ({duck(UNITS)}), {_UNIT_SQL},
+_SIMULATED = f"""{_TASKS.replace("WITH yp", "WITH RECURSIVE yp", 1)}, {_EQUIVALENT}, {U_TABLE.format(8)}, units AS ({duck(UNITS)}), {_UNIT_SQL},
     yr AS (SELECT year, avg(ym) AS m, avg(ys) AS s FROM fr GROUP BY year), pool AS (SELECT list_sort(list(round(yr.m - ym, 9))) AS rm, list_sort(list(round(yr.s - ys, 9))) AS rs FROM fr JOIN yr USING (year) WHERE fr.year + 15 >= 2014),
     v AS (SELECT ta.*, t AS threshold, c AS size, o AS policy, std, CASE WHEN c = 5 THEN round_even(n / 4e0 / 32, 0) ELSE n / 4e0 END AS num FROM ta, (VALUES (25e-2), (15e-2)) v(t), (VALUES (CAST(4 AS INT)), (5)) w(c), (VALUES ('always'), ('never'), ('negative')) x(o) JOIN eq ON round(level, 2) = round(t, 2)),
     u AS (SELECT v.*, unit, ceil(l[('0x' || substr(md5('unit|' || geohash || '|' || year || '|' || threshold || '|' || size || '|' || policy || '|' || unit), 1, 8))::BIGINT % len(l) + 1] * CASE WHEN size = 5 THEN 1 / 32e0 ELSE 1e0 END / 4e0)::BIGINT AS px FROM v, sz, LATERAL (SELECT unnest(range(1, CAST(ceil(num) AS BIGINT) + 1)) AS unit) WHERE num > 0),
@@ -149,7 +154,9 @@ _SIMULATED = f"""{_TASKS}, {_EQUIVALENT}, units AS ({duck(UNITS)}), {_UNIT_SQL},
     rk AS (SELECT *, coalesce(sum(np + nb) OVER w, 0) + (np + nb + 1) / 2e0 AS rb, coalesce(sum(np + na) OVER w, 0) + (np + na + 1) / 2e0 AS ra FROM lo WINDOW w AS (PARTITION BY geohash, year, threshold, size, policy ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     uu AS (SELECT geohash, year, threshold, size, policy, CAST(sum(np) AS DOUBLE) AS n, sum(rb * np) - sum(np) * (sum(np) + 1) / 2 - sum(np) * sum(np) / 2 AS ob, sum(ra * np) - sum(np) * (sum(np) + 1) / 2 - sum(np) * sum(np) / 2 AS oa, CAST(sum(CAST(np + nb AS DOUBLE) ** 3 - (np + nb)) AS DOUBLE) AS tb, CAST(sum(CAST(np + na AS DOUBLE) ** 3 - (np + na)) AS DOUBLE) AS ties FROM rk GROUP BY ALL),
     zz AS (SELECT *, sqrt(n * n / 12 * (2 * n + 1 - tb / (2 * n * (2 * n - 1)))) AS sb, sqrt(n * n / 12 * (2 * n + 1 - ties / (2 * n * (2 * n - 1)))) AS sa FROM uu),
-    pv AS (SELECT *, {_ERFC("CASE WHEN sb > 0 THEN (ob - sign(ob) * least(abs(ob), 0.5::DOUBLE)) / sb ELSE 0 END")} AS p, {_ERFC("CASE WHEN sa > 0 THEN (oa - sign(oa) * least(abs(oa), 0.5::DOUBLE)) / sa ELSE 0 END")} AS pa FROM zz)
+    pn AS (SELECT *, {_ERFC("CASE WHEN sb > 0 THEN (ob - sign(ob) * least(abs(ob), 0.5::DOUBLE)) / sb ELSE 0 END")} AS p, {_ERFC("CASE WHEN sa > 0 THEN (oa - sign(oa) * least(abs(oa), 0.5::DOUBLE)) / sa ELSE 0 END")} AS pa FROM zz),
+    pv AS (SELECT pn.* EXCLUDE (p, pa), coalesce(CASE WHEN tb = 0 THEN e1.p END, pn.p) AS p, coalesce(CASE WHEN ties = 0 THEN e2.p END, pa) AS pa FROM pn
+      LEFT JOIN ut e1 ON e1.m = pn.n AND e1.n = pn.n AND e1.u = pn.n * pn.n / 2 - abs(ob) LEFT JOIN ut e2 ON e2.m = pn.n AND e2.n = pn.n AND e2.u = pn.n * pn.n / 2 - abs(oa))
 """
 _METRICS = ", ".join(
     f'avg({c}) AS "{k}Change"' + "".join(f', avg(CASE WHEN {c} <= -{at} THEN 1e0 ELSE 0e0 END) AS "{k}Claims{x}", coalesce(avg({c}) FILTER ({c} <= -{at}), 0e0) AS "{k}Loss{x}"' for x, at in (("", "threshold"), ("Std", "level")))
@@ -292,7 +299,7 @@ def best_configurations(spark, d):
 
 @query("id layers validMean!", f"WITH sw AS ({duck(SWEEP)})\n--\nSELECT id, layers, \"validMean\" FROM sw WHERE \"allowCount\" = 1 AND block = 'all attrs' AND layers = 4 AND abs(\"l2Reg\" - 0.1) < 1e-4 AND abs(dropout - 0.1) < 1e-4")
 def matching_configurations(spark, d):
-    """B8, B10, B17, B18."""
+    """B8, B17, B18."""
     text = view(spark, d, SWEEP)
     text = text.select(*[F.when(F.col("allowCount") == 1, "True").otherwise("False").alias(c) if c == "allowCount" else F.col(c).cast("string").alias(c) for c in text.columns])
     return evaluate.matching(exports.clean_sweep(text), "all attrs", 4, 0.1, 0.1).withColumn("id", F.col("id").cast("long"))
@@ -499,7 +506,7 @@ ca AS (SELECT *, CASE WHEN p IS NULL OR r - c IS NULL THEN 'unknown' WHEN p >= 5
 SELECT geohash, condition, "lossThreshold", num, r AS "predictedRisk", c AS "counterfactualRisk", m AS "predictedMean", p, category, sum(num) OVER (PARTITION BY category) / sum(num) OVER () AS percent FROM ca""",
 )
 def explorer_categories(spark, d):
-    """D34-D36, S16, S20, B20, B21, O4."""
+    """D36, S16, S20, O4; at a level that the stand-in reaches."""
     pooled = explore.pool_records(paired(spark, d))
     out = explore.categorise(pooled, F.col("predictedRisk") - F.col("counterfactualRisk"), alpha=5.0)
     return out.join(F.broadcast(explore.shares(out, "category", "num").select("category", "percent")), "category")

@@ -66,7 +66,7 @@ def daily_summary(spark, d):
 
 @query("geohash attr condition year month mean! std! min! max! count", f"WITH px AS ({duck(PIXELS)}), daily AS ({_DAILY})\n--\n{_MONTHLY}")
 def monthly_pool(spark, d):
-    """D3, D5, U1."""
+    """D5."""
     return monthly(spark, d)
 
 
@@ -213,7 +213,7 @@ def long_frame(spark, d):
     f"{_CTE}\n--\nSELECT geohash, year, bm AS \"baselineYieldMean\", bs AS \"baselineYieldStd\", ym AS \"yieldMean\", sd AS \"yieldStd\", obs AS \"yieldObservations\", cc AS \"climateCounts\", month, attr, v AS c_mean, mx AS c_max FROM fr",
 )
 def frame_long(spark, d):
-    """B5, J1, D9, D10, W4, S5."""
+    """J1, D9, D10, W4, S5."""
     return long_frame(spark, d)
 
 
@@ -323,15 +323,15 @@ def field_distributions_all(spark, d):
     _LONG + ", di AS (SELECT field, avg(value) AS mean, stddev_samp(value) AS std FROM lf GROUP BY field)\n--\nSELECT l.geohash, l.year, l.field, (l.value - d.mean) / d.std AS z FROM lf l JOIN di d ON l.field = d.field WHERE l.value IS NOT NULL",
 )
 def z_scores(spark, d):
-    """The fields of the SQL, out of z_scores_all."""
-    return _sliced(z_scores_all(spark, d))
+    """The fields of the SQL, out of z_scores_all, without sentinels."""
+    return _sliced(z_scores_all(spark, d)).where("z <> -999")
 
 
-@query("geohash year field z!", _every_field() + ", di AS (SELECT field, avg(value) AS mean, stddev_samp(value) AS std FROM lf GROUP BY field)\n--\nSELECT l.geohash, l.year, l.field, (l.value - d.mean) / d.std AS z FROM lf l JOIN di d ON l.field = d.field WHERE l.value IS NOT NULL AND d.std > 0")
+@query("geohash year field z!", _every_field() + ", di AS (SELECT field, avg(value) AS mean, stddev_samp(value) AS std FROM lf GROUP BY field)\n--\nSELECT l.geohash, l.year, l.field, CASE WHEN l.value IS NULL OR coalesce(d.std, 0) = 0 THEN -999e0 ELSE (l.value - d.mean) / d.std END AS z FROM lf l LEFT JOIN di d ON l.field = d.field")
 def z_scores_all(spark, d):
-    """All 484 fields, without the sentinel rows, which hold what the wide frame lacks."""
+    """All 484 fields, with the sentinel for nulls and for fields that don't vary."""
     long = _fields(spark, d)
-    return frame.z_scores(long, frame.field_distributions(long)).where("z <> -999")
+    return frame.z_scores(long, frame.field_distributions(long))
 
 
 @query(
@@ -356,12 +356,12 @@ def responses(spark, d):
 SELECT count(*) AS rows, avg(CASE WHEN valid THEN 0e0 ELSE 1e0 END) AS invalid, avg(CASE WHEN skew IS NOT NULL THEN 1e0 ELSE 0e0 END) AS complete, avg(CASE WHEN abs(skew) <= 2 AND abs(kurtosis) <= 7 THEN 1e0 ELSE 0e0 END) AS normal, avg(CASE WHEN skew IS NULL THEN 1e0 ELSE 0e0 END) AS missing, (SELECT count(*) FROM (SELECT geohash, year FROM s GROUP BY ALL HAVING count(*) > 1)) AS repeated FROM s""",
 )
 def frame_gates(spark, d):
-    """Reports of the quality gates on partial summaries, whose cell-years repeat, and on the deltas' valid flag."""
+    """One report of the quality gates on partial summaries, whose cell-years repeat, and on the deltas' valid flag."""
     long = _fields(spark, d)
     valid = frame.own_deltas(long).groupBy("geohash", "year").agg(F.bool_and("valid").alias("valid"))
     parts = distributions.summarize(view(spark, d, YIELD_PIXELS).where("value > 0"), ["geohash", "year", "part"])
     rows = parts.join(valid, ["geohash", "year"], "left").withColumn("valid", F.coalesce("valid", F.lit(False))).withColumn("complete", F.col("skew").isNotNull())
-    return rows.agg(F.count("*").alias("rows")).crossJoin(gates.delta_gate(rows)).crossJoin(gates.missing_gate(rows, "skew")).crossJoin(gates.unique_gate(rows, ["geohash", "year"]))
+    return gates.report(rows, ["geohash", "year"])
 
 
 @query(

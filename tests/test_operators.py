@@ -104,7 +104,8 @@ def test_draws_do_not_depend_on_partitions(spark):
     total = [r["unitSize"] for r in units.orderBy("unit").collect()]
     assert sum(total) >= 50 > sum(total[:-1])
     task = units.withColumn("pixels", F.lit(400)).withColumn("stdMult", F.lit(1.0)).withColumn("offsetBaseline", F.lit("never")).withColumn("originalYieldMean", F.lit(0.1)).withColumn("originalYieldStd", F.lit(0.2)).withColumn("projectedYieldMean", F.lit(-0.1)).withColumn("projectedYieldStd", F.lit(0.2))
-    pool = spark.createDataFrame([([0.05], [0.0])], "poolMean array<double>, poolStd array<double>")
+    pool = trials.residual_pool(spark.createDataFrame([(0.05, 0.0), (None, float("nan"))], "meanResidual double, stdResidual double"))
+    assert (pool.mean_count, pool.std_count) == (1, 1)
     runs = [trials.simulate_units(task.repartition(n), ["k"], pool).orderBy("unit").collect() for n in (1, 4)]
     assert runs[0] == runs[1] and all(r["baseline"] == 0.1 and abs(r["predicted"] + 0.15) < 0.05 and abs(r["adapted"] - 0.05) < 0.05 for r in runs[0])
     moved = trials.simulate_units(task.withColumn("offsetBaseline", F.lit("always")).withColumn("originalYieldStd", F.lit(0.0)), ["k"], pool).first()
@@ -155,6 +156,29 @@ def test_exact_median(spark):
         assert evaluate.exact_median(rows, "v").first()["median"] == (statistics.median(values) if values else None)
 
 
+def test_exact_median_of_many(spark):
+    """A million distinct values, one value alone, and values of all sizes and signs: nothing is ordered in one task."""
+    n = 1_000_001
+    many = spark.range(n).select(((F.col("id") * 7919) % n - n // 3).cast("double").alias("a"), F.lit(-2.5).alias("b"), F.when(F.col("id") % 3 == 0, F.pow(F.lit(10.0), (F.col("id") % 600) - 300)).otherwise(-F.col("id") / 3).alias("c"))
+    got = evaluate.exact_medians(many, ["a", "b", "c"])
+    c = sorted(10.0 ** (i % 600 - 300) if i % 3 == 0 else -i / 3 for i in range(n))[n // 2]
+    assert got["a"] == n // 2 - n // 3 and got["b"] == -2.5 and got["c"] == pytest.approx(c, rel=1e-12)
+    both = spark.createDataFrame([(-0.0,), (0.0,), (float("-inf"),), (5e-324,)], "v double")
+    assert evaluate.exact_medians(both, ["v"]) == {"v": 0.0}
+    bits = [r[0] for r in spark.createDataFrame([(v,) for v in (float("-inf"), -3.0, -1e-320, -0.0, 1e-320, 2.0, float("inf"))], "v double").select(evaluate.order_bits(F.col("v"))).collect()]
+    assert bits == sorted(bits) and len(set(bits)) == 7
+
+
+def test_placed_rows(spark):
+    rows = spark.createDataFrame([(float(x),) for x in [5, 3, 3, 9, -1, 7] * 50], "v double")
+    for n in (1, 7):
+        got = sorted((r["at"], r["v"]) for r in sampling.placed_rows(rows.repartition(n), ["v"]).collect())
+        assert got == list(enumerate(sorted([5.0, 3, 3, 9, -1, 7] * 50)))
+    assert sampling.placed_rows(rows.where("false"), ["v"]).count() == 0
+    pool = trials.residual_pool(rows.select((F.col("v") / 3).alias("meanResidual"), F.lit(None).cast("double").alias("stdResidual")))
+    assert (pool.mean_count, pool.std_count) == (300, 0)
+
+
 def test_selection_and_features(spark):
     assert evaluate.feature_columns(["year", "tmaxMean1", "tmaxCount1", "geohash", "yieldMean"], ("year", "geohash"), ("yield",), exclude_counts=True) == ["tmaxMean1"]
     sweep = spark.createDataFrame([("all attrs", 2, 0.0, 0.0, 1, 0.1, 0.1), ("all attrs", 4, 0.1, 0.0, 1, 0.2, 0.1), ("temp", 4, 0.1, 0.0, 1, 0.01, 0.9)], "block string, layers int, l2Reg double, dropout double, allowCount int, validMean double, validStd double")
@@ -200,3 +224,87 @@ def test_sources(spark, tmp_path):
     days = tables.manifest(spark.createDataFrame([(2000,)], "year int"), ["RHx", "chirps-v2"], ("observations",), 100)
     names = [r["n"] for r in days.withColumn("n", tables.raster_name(F.col("variable"), F.col("condition"), F.col("date"))).orderBy("variable", "date").collect()]
     assert names[0] == "RHx.2000.01.01.tif" and names[1] == "RHx.2000.04.10.tif" and "chirps-v2.0.2000.01.01.tif" in names and len(names) == 8
+
+
+def test_merged_states(spark):
+    """Any split of the values, merged in any order, gives the summary of all of them."""
+    rows = spark.range(500).select((F.col("id") % 3).cast("string").alias("k"), F.when(F.col("id") % 11 > 0, F.exp((F.col("id") * 37 % 101) / 20.0) + 1e6).alias("value"), F.col("id"))
+    rows = rows.unionByName(spark.createDataFrame([("one", 5.0, 1), ("flat", 2.0, 1), ("flat", 2.0, 2), ("none", None, 3), (None, 1.0, 4), (None, 3.0, 5), ("one", float("nan"), 6)], "k string, value double, id long"))
+    key = lambda r: (r["k"] is None, r["k"])
+    want = sorted(distributions.summarize(rows.where("not isnan(value)"), ["k"]).collect(), key=key)
+    for parts in (1, 2, 60, 500):
+        split = distributions.state(rows.withColumn("part", F.col("id") * 7919 % parts), ["k", "part"])
+        blank = spark.createDataFrame([("flat", 0, 0, None)], "k string, part long, n long, mean double")
+        split = split.unionByName(blank, allowMissingColumns=True)
+        some = distributions.merge_states(split.withColumn("half", F.col("part") % 2), ["k", "half"])
+        for merged in (distributions.merge_states(split, ["k"]), distributions.merge_states(some, ["k"])):
+            got = sorted(distributions.finish_state(merged, ["k"]).collect(), key=key)
+            assert [r["k"] for r in got] == [r["k"] for r in want]
+            for a, b in zip(got, want):
+                assert a["count"] == b["count"] and (a["min"], a["max"]) == (b["min"], b["max"])
+                for c in ("mean", "std", "skew", "kurtosis"):
+                    assert (a[c] is None and b[c] is None) or a[c] == pytest.approx(b[c], rel=1e-6, abs=1e-9), (parts, a, b)
+    assert distributions.merge_states(split.drop("k"), []).first()["n"] == distributions.state(rows, []).first()["n"]
+
+
+def test_exact_p(spark):
+    """Against the enumeration of all orders, to 1e-12; ties and two large samples have none."""
+    from itertools import combinations
+
+    cases = []
+    for m, n in ((1, 1), (1, 9), (3, 2), (4, 4), (8, 2), (2, 30), (5, 6)):
+        counts = [0] * (m * n + 1)
+        for s in combinations(range(m + n), m):
+            counts[sum(s) - m * (m - 1) // 2] += 1
+        for u in range(m * n + 1):
+            cases.append((m, n, float(u), min(1.0, 2 * sum(counts[max(u, m * n - u) :]) / sum(counts))))
+    df = spark.createDataFrame(cases, "a long, b long, u double, want double")
+    for r in df.withColumn("p", outcomes.exact_p("a", "b", "u", F.lit(False))).collect():
+        assert abs(r["p"] - r["want"]) < 1e-12
+    none = spark.createDataFrame([(9, 9, 3.0, False), (3, 3, 3.0, True), (0, 3, 0.0, False), (3, 3, None, False), (3, 3, 4.0, None)], "a long, b long, u double, t boolean")
+    assert [r["p"] for r in none.withColumn("p", outcomes.exact_p("a", "b", "u", F.col("t"))).collect()] == [None] * 5
+    big = spark.createDataFrame([(8, 2000, 8000.0)], "a long, b long, u double").withColumn("p", outcomes.exact_p("a", "b", "u", F.lit(False))).first()
+    assert big["p"] == pytest.approx(1.0, abs=1e-3)
+
+
+def test_gates_in_the_plan(spark, tmp_path):
+    rows = spark.range(100).select("id", (F.col("id") >= 6).alias("valid"), F.lit(True).alias("complete"), F.lit(2.0).alias("skew"), F.lit(7.0).alias("kurtosis"))
+    back, seen = gates.write_gated(rows.where("id > 0"), f"{tmp_path}/ok", gates.delta_figures(), **(gates.DELTA_LIMITS | {"at_most": {"invalid": 0.06}}))
+    assert back.count() == 99 and seen["invalid"] == 5 / 99 and seen["complete"] == seen["normal"] == 1
+    with pytest.raises(gates.GateError):
+        gates.write_gated(rows, f"{tmp_path}/bad", gates.delta_figures(), **gates.DELTA_LIMITS)
+    assert not (tmp_path / "bad").exists()
+    empty, seen = gates.write_gated(rows.where("false"), f"{tmp_path}/none", gates.delta_figures(), **gates.DELTA_LIMITS)
+    assert empty.count() == 0 and seen["invalid"] is None
+    assert gates.unique_rows(rows, ["id"]).count() == 100
+    with pytest.raises(Exception, match="repeated key"):
+        gates.unique_rows(rows.unionByName(rows.limit(1)), ["id"]).count()
+    with pytest.raises(Exception, match="too small"):
+        gates.enforce(rows, F.col("id") > 0, "too small").count()
+    got = gates.report(rows.unionByName(rows.limit(1)), ["id"]).first()
+    assert got["rows"] == 101 and got["repeated"] == 1 and got["missing"] == 0 and gates.report(rows.where("false"), ["id"]).first()["rows"] == 0
+
+
+def test_stored_layouts(spark, tmp_path):
+    rows = spark.range(400).select(F.concat(F.lit("a"), (F.col("id") % 20).cast("string")).alias("geohash"), F.col("id").alias("v")).withColumn("geohash", F.concat(F.substring(F.lit("pqrstuvwxyz"), (F.col("v") % 10 + 1).cast("int"), F.lit(1)), "geohash"))
+    tables.write_by_region(rows, f"{tmp_path}/t", length=1)
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([("pa0", 9), ("pa10", 9), ("qa1", 1)], "geohash string, rank int").write.parquet(f"{tmp_path}/cells")
+    cells = spark.read.parquet(f"{tmp_path}/cells").where("rank > 5").withColumn("region", F.substring("geohash", 1, 1))
+    few = frame.restrict(stored, cells, region="region")
+    plan = few._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan and few.count() == 40
+    assert frame.restrict(stored, cells).count() == 40
+    for year, name in ((1999, "y_1999.csv"), (2000, "y_2000.csv"), (2001, "y_2001.csv.aux.xml"), (0, "readme.csv")):
+        (tmp_path / "in" / "deep").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "deep" / name).write_text(f"a,b\n{year},x\n{year + 1},\n")
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in tables.list_files(spark, f"{tmp_path}/in", "*.csv").collect()) == ["readme.csv", "y_1999.csv", "y_2000.csv"]
+    found = tables.read_found(spark, f"{tmp_path}/in", "a int, b string", r"y_(\d{4})")
+    assert {(r["a"], r["b"], r["year"]) for r in found.collect()} == {(1999, "x", 1999), (2000, None, 1999), (2000, "x", 2000), (2001, None, 2000)}
+    tables.write_record(spark.createDataFrame([(1, None)], "a int, b string"), f"{tmp_path}/r")
+    assert tables.read_record(spark, f"{tmp_path}/r", "a int, b string, c int").first().asDict() == {"a": 1, "b": None, "c": None}
+    tables.write_lines(spark.createDataFrame([("no json",)], "v string"), f"{tmp_path}/bad")
+    with pytest.raises(Exception):
+        tables.read_record(spark, f"{tmp_path}/bad", "a int").collect()
+    both = tables.union_years([spark.range(1).withColumn("x", F.lit(1)), spark.range(1).withColumn("y", F.lit(2))])
+    assert sorted(both.columns) == ["id", "x", "y"] and both.count() == 2
