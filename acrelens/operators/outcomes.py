@@ -90,15 +90,18 @@ def u_counts(m: int, n: int) -> np.ndarray:
     return out
 
 
-def exact_p(n1: Column | str, n2: Column | str, u: Column | str, ties: Column) -> Column:
-    """Exact two-sided p of U, null where the samples tie (`ties`), one is empty, or both are larger than EXACT.
+def exact_p(n1: Column | str, n2: Column | str, u: Column | str, ties: Column, z: Column | str | None = None) -> Column:
+    """Exact two-sided p of U. Where the samples tie (`ties`) or both are larger than EXACT: that of `z` by two_sided_p()'s form, null without it.
+    Null if a sample is empty.
 
     One number for each pair of sizes and U, worked out in vectors; rows of other sizes cost nothing.
     """
 
     @F.pandas_udf("double")
     def run(rows: pd.DataFrame) -> pd.Series:
-        out = np.full(len(rows), np.nan)
+        x = np.abs(rows["z"].to_numpy(float)) / math.sqrt(2)
+        t = 1 / (1 + x / 2)
+        out = t * np.exp(np.polynomial.polynomial.polyval(t, ERFC) - x * x)
         low, high = rows[["a", "b"]].min(axis=1).to_numpy(), rows[["a", "b"]].max(axis=1).to_numpy()
         ok = rows["open"].to_numpy(bool) & (low >= 1) & (low <= EXACT)
         for m, n in set(zip(low[ok].tolist(), high[ok].tolist())):
@@ -106,12 +109,12 @@ def exact_p(n1: Column | str, n2: Column | str, u: Column | str, ties: Column) -
             tail = np.cumsum(u_counts(int(m), int(n))) / math.comb(int(m + n), int(m))
             x = rows["u"].to_numpy()[mine]
             out[mine] = np.minimum(1.0, 2 * tail[np.minimum(x, m * n - x).astype(int)])
-        return pd.Series(out)
+        return pd.Series(out).where((low >= 1) & ~np.isnan(rows["u"].to_numpy()))
 
-    number = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
-    open_ = F.coalesce(~ties & number(u).isNotNull(), F.lit(False))
-    found = run(F.struct(number(n1).alias("a"), number(n2).alias("b"), F.coalesce(number(u), F.lit(0.0)).alias("u"), open_.alias("open")))
-    return F.when(open_, F.nanvl(found, F.lit(None).cast("double")))
+    number = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(float("nan")))
+    open_ = F.coalesce(~ties, F.lit(False)) & ~F.isnan(number(u))
+    found = run(F.struct(number(n1).alias("a"), number(n2).alias("b"), number(u).alias("u"), number(F.lit(None) if z is None else z).alias("z"), open_.alias("open")))
+    return F.nanvl(found, F.lit(None).cast("double"))
 
 
 def trial_outcomes(units: DataFrame, keys: list[str], level: str, std_level: str, carry: tuple = ()) -> DataFrame:
@@ -143,7 +146,7 @@ def trial_outcomes(units: DataFrame, keys: list[str], level: str, std_level: str
         spread = F.sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - F.sum(t * t * t - t) / ((n1 + n2) * (n1 + n2 - 1))))
         z = F.when(spread > 0, (off - F.signum(off) * F.least(F.abs(off), F.lit(0.5))) / spread).otherwise(F.lit(0.0))
         tied = F.max(t) > 1
-        out += [two_sided_p(z).alias(f"_{name}"), (off + n1 * n2 / 2).alias(f"_{name}U"), tied.alias(f"_{name}Tied")]
+        out += [z.alias(f"_{name}"), (off + n1 * n2 / 2).alias(f"_{name}U"), tied.alias(f"_{name}Tied")]
     sums, tests = ranked.groupBy(*own).agg(*out), ("p", "pAdapted")
-    exact = [F.coalesce(exact_p("units", "units", f"_{n}U", F.col(f"_{n}Tied")), F.col(f"_{n}")).alias(n) for n in tests]
+    exact = [exact_p("units", "units", f"_{n}U", F.col(f"_{n}Tied"), f"_{n}").alias(n) for n in tests]
     return sums.select(*[c for c in sums.columns if not c.startswith(tuple(f"_{n}" for n in tests))], *exact)
