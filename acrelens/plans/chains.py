@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from acrelens.config import ATTRIBUTES
+from acrelens.config import ATTRIBUTES, STD_MULTIPLIERS, THRESHOLDS
 from acrelens.functions import scalar
-from acrelens.operators import distributions, evaluate, explore, exports, frame, gates, outcomes, sampling, stats
-from acrelens.plans.results import _OC, _PAIR, _STATS, U_TABLE, paired
+from acrelens.operators import distributions, evaluate, explore, exports, frame, gates, outcomes, sampling, stats, tasks, trials
+from acrelens.plans.results import _FIT, _OC, _PAIR, _REL, _SCALER, _SIMULATED, _STATS, _TASKS, U_TABLE, paired, relative, test_residuals, unit_size_list
 from acrelens.plans.standins import OUTCOMES, PIXELS, YIELD_PIXELS, duck, given, view
 from acrelens.plans.training import _CTE, _DAILY, _POOL, _SUMMARY, _every_field, _fields, daily, long_frame
 from acrelens.sources import tables
@@ -264,3 +264,70 @@ def historic_family(spark, d):
     """The scope of the historic series."""
     rows = view(spark, d, OUTCOMES).withColumn("series", F.when(F.col("series") == "historic", "2010").otherwise(F.col("series")))
     return rows.where(exports.in_scope(historic=True)).groupBy("series").agg(F.count("*").alias("familySize"))
+
+
+# from pixels to exports
+
+_KEYS = ["label", "series", "geohash", "year", "threshold", "geohashSimSize", "offsetBaseline"]
+_PROJECTED = f"""fx AS (SELECT geohash, year, CAST(year + 15 - 2007 AS DOUBLE) AS x, CAST(obs AS DOUBLE) AS z, CAST(obs AS DOUBLE) AS w, ym, ys FROM fr), fa AS ({_FIT('ym')}), fb AS ({_FIT('ys')}),
+    pj AS (SELECT label, geohash, year, fa.my + fa.b1 * (e - fa.mx) + fa.b2 * (obs - fa.mz) AS pm, fb.my + fb.b1 * (e - fb.mx) + fb.b2 * (obs - fb.mz) AS ps FROM (SELECT 'run' AS label, *, CAST(year + 15 - 1998 AS DOUBLE) AS e FROM fr WHERE year > 1998 UNION ALL SELECT 'hold', *, 0e0 FROM fr WHERE year > 1998), fa, fb),
+    t0 AS (SELECT label, e.geohash, l.year, e.ym AS om, e.ys AS os, l.pm, l.ps, e.obs AS n FROM fr e JOIN pj l ON e.geohash = l.geohash AND e.year = l.year - 4 WHERE e.year <= 1998 AND e.obs > 0),
+    ta AS (SELECT label, '2030' AS series, geohash, year, om, os, pm, ps, n FROM t0 UNION ALL SELECT label, '2030_counterfactual', geohash, year, om, os, om, os, n FROM t0)"""
+
+
+def _exported_sql() -> str:
+    out = _SIMULATED.replace(_TASKS.replace("WITH yp", "WITH RECURSIVE yp", 1), _REL.replace("WITH yp", "WITH RECURSIVE yp", 1) + ", " + _PROJECTED)
+    out = out.replace("(VALUES (CAST(4 AS INT)), (5)) w(c)", "(VALUES (CAST(4 AS INT))) w(c)").replace("(VALUES ('always'), ('never'), ('negative')) x(o)", "(VALUES ('always')) x(o)")
+    for word in ("unit", "trial"):
+        out = out.replace(f"'{word}|' || geohash", f"'{word}|' || label || '|' || series || '|' || geohash")
+    out = out.replace("geohash, year, threshold, size, policy", "label, series, geohash, year, threshold, size, policy")
+    return out + """, o1 AS (SELECT label, series, geohash, year, threshold, count(*) AS num, avg(dp) AS change, avg(CASE WHEN dp <= -threshold THEN 1e0 ELSE 0e0 END) AS claims FROM de GROUP BY ALL),
+    fam AS (SELECT label, series, count(*) AS f FROM o1 WHERE threshold = 0.25::DOUBLE GROUP BY ALL), o2 AS (SELECT o1.*, pv.p, f, series LIKE '%_counterfactual' AS cf FROM o1 JOIN pv USING (label, series, geohash, year, threshold) JOIN fam USING (label, series)),
+    pd AS (SELECT label, geohash, year, threshold, coalesce(max(num) FILTER (NOT cf), max(num) FILTER (cf)) AS num, max(claims) FILTER (NOT cf) AS r, max(claims) FILTER (cf) AS c, max(change) FILTER (NOT cf) AS m, coalesce(bool_or(p < 0.05::DOUBLE / f) FILTER (NOT cf), false) AS sig FROM o2 GROUP BY label, geohash, year, threshold),
+    ce AS (SELECT label, geohash, bool_or(coalesce(r > c, false)) AS risk, sum(m * num) / sum(num) FILTER (m IS NOT NULL) AS change, bool_or(sig) AS ever, sum(num) AS num FROM pd GROUP BY label, geohash),
+    bn AS (SELECT label, CASE WHEN series = '2030' THEN 'predicted' ELSE 'counterfactual' END AS series, threshold, num, claims, change FROM o1),
+    hi AS (SELECT label, CASE WHEN series = '2030' THEN 'predicted' ELSE 'counterfactual' END AS series, CAST(round_even(least(greatest(dp, -1e0), 1e0) * 100 / 5, 0) * 5 AS INT) AS bin, count(*) AS n FROM de WHERE threshold = 0.25::DOUBLE GROUP BY ALL),
+    ks AS (SELECT DISTINCT label, series FROM bn)
+--
+SELECT ks.label, ks.series, CAST(r.b * 5 AS VARCHAR) AS bin, CAST(coalesce(n, 0) AS DOUBLE) AS val FROM ks CROSS JOIN range(-20, 21) r(b) LEFT JOIN hi ON hi.label = ks.label AND hi.series = ks.series AND hi.bin = r.b * 5
+UNION ALL SELECT label, series, unnest(['cnt', 'mean', 'claimsMpci']), unnest([CAST(sum(num) AS DOUBLE), sum(num * change) / sum(num), sum(num * claims)]) FROM bn WHERE threshold = 0.25::DOUBLE GROUP BY label, series
+UNION ALL SELECT label, series, 'claimsSco', sum(num * claims) FROM bn WHERE threshold = 0.15::DOUBLE GROUP BY label, series
+UNION ALL SELECT label, 'paired', unnest(['dualIncrease', 'percentSignificant']), unnest([count(*) FILTER (risk AND change >= 0) / nullif(count(*) FILTER (risk), 0)::DOUBLE, coalesce(sum(num) FILTER (ever), 0) / sum(num)::DOUBLE]) FROM ce GROUP BY label"""
+
+
+def _labelled_tasks(spark, d):
+    """Tasks of the projections by a fitted model, with years as they run and held, each with its counterfactual, which stays as it was."""
+    rel = relative(spark, d).withColumn("observations", F.col("yieldObservations").cast("double"))
+    features, at = ["effectiveYear", "observations"], lambda mode: tasks.effective_year(F.col("year") + 15, mode).cast("double")
+    models = evaluate.fit_linear(rel.withColumn("effectiveYear", at("train")), features, {"yieldMean": "yieldMean", "yieldStd": "yieldStd"}, "observations")
+    early, counts, out = tasks.copy_projection(rel.where("year <= 1998")), tasks.observation_counts(rel), {}
+    for label, mode in (("run", "project"), ("hold", "hold")):
+        late = rel.where("year > 1998").withColumn("effectiveYear", at(mode)).select("geohash", "year", "yieldObservations", *[c.alias(n) for n, c in evaluate.linear_scores(models, features).items()])
+        found = tasks.build_tasks(early, tasks.copy_projection(late, late=True, shift=4), counts, "2030_SSP245")
+        same = found.withColumn("projectedYieldMean", F.col("originalYieldMean")).withColumn("projectedYieldStd", F.col("originalYieldStd"))
+        out[label] = exports.union_series({"2030": found, "2030_counterfactual": same}).withColumn("label", F.lit(label))
+    return out["run"].unionByName(out["hold"])
+
+
+@query("label series bin val!", _exported_sql())
+def exported_simulation(spark, d):
+    """From yields to a model, its projections with years run and held, trials, written outcomes, histograms and paired statistics."""
+    variants = tasks.with_variants(_labelled_tasks(spark, d), THRESHOLDS, STD_MULTIPLIERS, (4,), ("always",))
+    variants = tasks.with_std_threshold(variants, tasks.std_equivalents(relative(spark, d), list(THRESHOLDS)))
+    units = sampling.draw_scaled_units(variants, _KEYS, "numObservations", unit_size_list(spark, d), _SCALER)
+    units = trials.simulate_units(units, _KEYS, trials.residual_pool(test_residuals(spark, d))).withColumn("stdLevel", F.col("originalYieldStd") * F.col("thresholdStd"))
+    path = tables.scratch(spark, "units")
+    units.write.parquet(path)
+    units = spark.read.schema(units.schema).parquet(path)
+    rows = outcomes.trial_outcomes(units, _KEYS, "threshold", "stdLevel", carry=("stdMult",)).withColumnRenamed("units", "num").withColumn("unitSize", F.lit(8.0))
+    rows = rows.join(outcomes.wide_histogram(units.withColumn("d", F.round("predicted", 9)), _KEYS, "d"), _KEYS)
+    path = tables.scratch(spark, "outcomes")
+    rows.write.parquet(path)
+    rows, out = spark.read.schema(rows.schema).parquet(path), []
+    for label in ("run", "hold"):
+        own = rows.where(F.col("label") == label)
+        paired = exports.pair(own, exports.family_sizes(own))
+        figures = stats.combine_records((stats.dual_increase(paired).select("dualIncrease"), ""), (exports.significant_share(paired), ""))
+        figures = figures.unpivot([], ["dualIncrease", "percentSignificant"], "bin", "val").withColumn("series", F.lit("paired"))
+        out.append(exports.histogram_export(own).select("series", "bin", "val").unionByName(figures).withColumn("label", F.lit(label)))
+    return out[0].unionByName(out[1])
