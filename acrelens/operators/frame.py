@@ -94,15 +94,28 @@ def z_scores(long: DataFrame, distributions: DataFrame) -> DataFrame:
     return long.join(F.broadcast(distributions), "field", "left").select("geohash", "year", "field", z_score(F.col("value"), F.col("mean"), F.col("std")).alias("z"))
 
 
+def _bound(x: Column, f) -> Column:
+    """f of x, which is worked out once."""
+    return F.transform(F.array(x), f)[0]
+
+
 def response(sample: Column, base: Column) -> Column:
     """Struct mean, std, skew, kurtosis, complete of a sample's deltas against a baseline; no row is multiplied.
 
     For samples of a bounded size, as draws are; values still in rows are summarised after scalar.delta()."""
-    d = F.transform(F.filter(sample, lambda x: finite(x).isNotNull()), lambda x: delta(x, base))
-    n = F.size(d).cast("double")
-    power = lambda c, k: F.aggregate(d, F.lit(0.0), lambda a, x: a + F.pow(x - c, F.lit(k)))
-    mean = F.try_divide(F.aggregate(d, F.lit(0.0), lambda a, x: a + x), n)
-    var = F.try_divide(power(mean, 2.0), n)
-    skew = F.try_divide(F.try_divide(power(mean, 3.0), n), F.pow(var, F.lit(1.5)))
-    kurtosis = F.try_divide(F.try_divide(power(mean, 4.0), n), var * var) - 3
-    return F.struct(mean.alias("mean"), F.sqrt(var).alias("std"), skew.alias("skew"), kurtosis.alias("kurtosis"), (mean.isNotNull() & skew.isNotNull()).alias("complete"))
+
+    def moments(d: Column) -> Column:
+        n = F.size(d).cast("double")
+        mean = F.try_divide(F.aggregate(d, F.lit(0.0), lambda a, x: a + x), n)
+        return _bound(mean, lambda m: _bound(F.aggregate(d, F.struct(*[F.lit(0.0).alias(f"p{k}") for k in (2, 3, 4)]), lambda a, x: powers(a, x - m)), lambda p: figures(m, p, n)))
+
+    def powers(a: Column, x: Column) -> Column:
+        return F.struct(*[(a[f"p{k}"] + F.pow(x, F.lit(float(k)))).alias(f"p{k}") for k in (2, 3, 4)])
+
+    def figures(mean: Column, p: Column, n: Column) -> Column:
+        var = F.try_divide(p["p2"], n)
+        skew = F.try_divide(F.try_divide(p["p3"], n), F.pow(var, F.lit(1.5)))
+        kurtosis = F.try_divide(F.try_divide(p["p4"], n), var * var) - 3
+        return F.struct(mean.alias("mean"), F.sqrt(var).alias("std"), skew.alias("skew"), kurtosis.alias("kurtosis"), (mean.isNotNull() & skew.isNotNull()).alias("complete"))
+
+    return _bound(F.transform(F.filter(sample, lambda x: finite(x).isNotNull()), lambda x: delta(x, base)), moments)
