@@ -11,7 +11,8 @@ adaptive probability map refines the sum.
 Texts go into blocks of numbered words, read once. Histories are gathered by Spark from all training texts: of
 whole words in sorted pages, exactly and however rare, where neighbouring pages exchange what words at their borders share;
 of short contexts in tables of fixed size, as languages have few of those; of phrases in grouped sums. A (kind, word) has one
-probability. Its page computes it once, with weights that the page learns online from an eighth of its own words.
+probability, which its page computes once. All pages use one mixer, whose weights and map are learned online from a sample of words
+across pages and then stay as they are: so the probabilities of all words of a kind sum to at most 1, however they are paged.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ RUNS = 4  # lengths of a run that are told apart
 BLOCK = 500_000  # tokens of a block
 DEALT = 400_000  # distinct words of blocks that are looked up together
 PAGE = 20_000  # neighbouring (kind, word) that are spelled together
-LEARN, STEP = 8, 500  # one in LEARN words of a page teaches its weights, STEP words at a time
+LEARN, STEP = 8, 500  # one in LEARN words, or fewer, teaches the mixer's weights, STEP words at a time
+FIT_WORDS, FIT_PAGES = 16_000, 64  # about so many words teach it at most, from about so many pages
 PHRASE = 12  # words of a phrase, as a mean
 LIMIT = 12.0  # of stretched probabilities
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -436,6 +438,25 @@ class Mixer:
         self.map += np.where(n > 0, (total - n * self.map) / (n + 60), 0)
 
 
+EXAMPLE = np.dtype([("inputs", "<f8", (len(TABLES) + 1,)), ("which", "<i2"), ("row", "<i2"), ("bit", "u1")])
+
+
+def learned(words: list[tuple[int, bytes, int, bytes]]) -> Mixer:
+    """One mixer, taught by words (kind, word, n, examples) online, in an order that depends on nothing but them."""
+    mixer = Mixer()
+    words = sorted(words, key=lambda w: (w[0], w[1] + b" "))
+    order = np.random.default_rng(4).permutation(len(words))
+    for i in range(0, len(order), STEP):
+        some = [words[k] for k in order[i : i + STEP]]
+        bits_ = [np.frombuffer(w[3], EXAMPLE).reshape(-1, 8) for w in some]
+        n = np.repeat([float(w[2]) for w in some], [len(x) for x in bits_])
+        x = np.concatenate(bits_)
+        for bit in range(8):
+            own = x[:, bit]
+            mixer.learn(own["inputs"], own["which"].astype(np.int64), own["row"].astype(np.int64), own["bit"], n, 0.15)
+    return mixer
+
+
 def map_row(seen: np.ndarray, at: np.ndarray) -> np.ndarray:
     return seen * 8 + np.minimum(at, 7)
 
@@ -471,15 +492,14 @@ class Spelling:
             found.append(st), seen.append(k)
         return np.stack(found, 1).astype(float), gate(seen), map_row(seen[-1], self.flat["at"][at]), b
 
-    def fit(self, chosen: np.ndarray) -> Mixer:
-        """Learn online from some training words, each predicted from histories without one occurrence of itself."""
-        mixer, order = Mixer(), np.random.default_rng(4).permutation(chosen)
-        for i in range(0, len(order), STEP):
-            at = self.part(order[i : i + STEP])
-            for bit in range(8):
-                inputs, which, row, b = self.inputs(at, bit, 1.0)
-                mixer.learn(inputs, which, row, b, self.n[self.flat["of"][at]], 0.15)
-        return mixer
+    def examples(self, chosen: np.ndarray) -> list[bytes]:
+        """Of each of some training words the inputs, weights' set, map's row and value of all its bits, predicted from histories without one occurrence of itself."""
+        at, sizes = self.part(chosen), self.flat["sizes"][chosen]
+        each = [self.inputs(at, bit, 1.0) for bit in range(8)]
+        inputs, which, row, b = (np.stack([e[k] for e in each], 1) for k in range(4))
+        made = np.zeros(len(at) * 8, EXAMPLE)
+        made["inputs"], made["which"], made["row"], made["bit"] = inputs.reshape(len(made), -1), which.reshape(-1), row.reshape(-1), b.reshape(-1)
+        return [part.tobytes() for part in np.split(made, np.cumsum(sizes)[:-1] * 8)] if len(chosen) else []
 
     def prices(self, mixer: Mixer) -> np.ndarray:
         """log10 probability of each word's bits, its ending space included."""
@@ -496,21 +516,33 @@ class Spelling:
         return out
 
 
-def price_page(pdf: pd.DataFrame, known: pd.DataFrame, short: tuple) -> pd.DataFrame:
-    """log10 probabilities (lp) of a page of (kind, word, n)."""
+def _spelled_page(pdf: pd.DataFrame, known: pd.DataFrame, short: tuple) -> tuple[list[int], list[bytes], Spelling]:
+    """A page of (kind, word, n) in order: places in `pdf`, words as they are spelled, and their histories."""
     words, kind = pdf["word"].map(bytes).tolist(), pdf["kind"].to_numpy()
     order = sorted(range(len(words)), key=lambda i: (kind[i], (b"" if words[i] == END else words[i]) + b" "))
     own = spelled([words[i] for i in order])
-    spelling = Spelling(own, kind[order], pdf["n"].to_numpy(float)[order], short, known)
-    drawn = np.array([crc32(w) % LEARN == 0 for w in own], bool)
+    return order, own, Spelling(own, kind[order], pdf["n"].to_numpy(float)[order], short, known)
+
+
+def teach_page(pdf: pd.DataFrame, known: pd.DataFrame, short: tuple, rate: int) -> pd.DataFrame:
+    """(kind, word, n, examples) of the one in `rate` training words of a page whose hash says so."""
+    order, own, spelling = _spelled_page(pdf, known, short)
+    chosen = np.flatnonzero(np.array([crc32(w) % rate == 0 for w in own], bool) & (spelling.n > 0))
+    return pd.DataFrame({"kind": pdf["kind"].to_numpy()[np.array(order)[chosen]] if len(chosen) else [], "word": [own[i] for i in chosen], "n": spelling.n[chosen].astype(np.int64), "examples": spelling.examples(chosen)})
+
+
+def price_page(pdf: pd.DataFrame, known: pd.DataFrame, short: tuple, mixer: Mixer) -> pd.DataFrame:
+    """log10 probabilities (lp) of a page of (kind, word, n)."""
+    order, own, spelling = _spelled_page(pdf, known, short)
     lp = np.empty(len(own))
-    lp[order] = spelling.prices(spelling.fit(np.flatnonzero(drawn & (spelling.n > 0))))
+    lp[order] = spelling.prices(mixer)
     return pdf[["bucket", "kind", "word"]].assign(lp=lp)
 
 
 def price(pairs: DataFrame, short: tuple, page: int = PAGE) -> DataFrame:
     """(bucket, kind, word, lp) of all pairs, spelled in pages of neighbours."""
-    placed = pairs.select("bucket", "kind", "word", "n").repartitionByRange(max(1, -(-pairs.count() // page)), "kind", "word").withColumn("page", F.spark_partition_id())
+    pages = max(1, -(-pairs.count() // page))
+    placed = pairs.select("bucket", "kind", "word", "n").repartitionByRange(pages, "kind", "word").withColumn("page", F.spark_partition_id())
     placed = settle(placed, "placed")
     one = F.struct("kind", "word")
     ends = placed.groupBy("page").agg(F.min(one).alias("first"), F.max(one).alias("last"))
@@ -521,8 +553,14 @@ def price(pairs: DataFrame, short: tuple, page: int = PAGE) -> DataFrame:
     total = borders.groupBy("key", "byte").agg(F.sum("n").alias("n"))
     known = borders.select("page", "key").distinct().join(total, "key").select("page", "key", "byte", "n")
     st, seen = stretched(*short)
-    sent = pairs.sparkSession.sparkContext.broadcast((*short, st.astype(np.float32), seen.astype(np.uint8)))
-    out = placed.groupBy("page").cogroup(known.groupBy("page")).applyInPandas(lambda pdf, k: price_page(pdf, k, sent.value) if len(pdf) else pdf.assign(lp=0.0)[["bucket", "kind", "word", "lp"]], "bucket int, kind int, word binary, lp double")
+    context = pairs.sparkSession.sparkContext
+    sent = context.broadcast((*short, st.astype(np.float32), seen.astype(np.uint8)))
+    meets = lambda some, run, schema: some.groupBy("page").cogroup(known.groupBy("page")).applyInPandas(lambda pdf, k: run(pdf, k) if len(pdf) else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")]), schema)
+    some = placed.where(F.pmod(F.xxhash64("page", F.lit(8)), F.lit(pages)) < FIT_PAGES) if pages > FIT_PAGES else placed
+    rate = max(LEARN, -(-some.where("n > 0").count() // FIT_WORDS))
+    taught = meets(some, lambda pdf, k: teach_page(pdf, k, sent.value, rate), "kind int, word binary, n long, examples binary")
+    mixer = context.broadcast(learned([(r["kind"], bytes(r["word"]), r["n"], bytes(r["examples"])) for r in taught.toLocalIterator()]))  # about FIT_WORDS
+    out = meets(placed, lambda pdf, k: price_page(pdf, k, sent.value, mixer.value), "bucket int, kind int, word binary, lp double")
     out = settle(out, "priced")
     for used in (placed, ends, borders):
         discard(used)

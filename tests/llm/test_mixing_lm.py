@@ -102,11 +102,16 @@ def test_pages_share_their_borders():
             assert (got == np.array(want)).all()
 
 
+def mixer_of(rows, spelling):
+    every = np.arange(len(rows))
+    return lm.learned([(k, w, n, x) for (k, w, n), x in zip(rows, spelling.examples(every))])
+
+
 def test_words_are_some_of_all_words():
     rng = np.random.default_rng(0)
     rows = [(1, w.encode(), 50) for w in VOCABULARY]
     own, spelling = spelling_of(rows)
-    mixer = spelling.fit(np.arange(len(own)))
+    mixer = mixer_of(own, spelling)
     known = spelling.prices(mixer)
     assert known.mean() > -2.2
     strange = [(1, bytes(rng.permutation(list(w)).astype(np.uint8)), 0) for _, w, _ in own]
@@ -216,3 +221,16 @@ def test_scores_are_those_of_a_plain_version(spark, monkeypatch):
         assert got[i] == pytest.approx(want, abs=1e-3), i
     single = next(i for i, t in rows if t and len(t.split()) > 40 and i < 40)
     assert got[50] / 121 > 0.5 * got[single] / (len(dict(rows)[single].split()) + 1)  # what occurs again costs far less
+
+
+def test_one_mixer_for_all_pages(spark):
+    """However words are paged, their probabilities are the same, and those of all words of a kind sum to at most 1."""
+    rng = np.random.default_rng(2)
+    words = {w.encode() for w in VOCABULARY} | {bytes(rng.choice(list(b"abcdef"), rng.integers(1, 5)).astype(np.uint8)) for _ in range(900)} | {lm.END}
+    rows = [(0, k, w, int(rng.integers(0, 9))) for w in words for k in (0, 1)]
+    pairs = spark.createDataFrame(rows, "bucket int, kind int, word binary, n long")
+    short = lm.count_short(pairs)
+    lp = {page: {(r["kind"], bytes(r["word"])): r["lp"] for r in lm.price(pairs, short, page).collect()} for page in (40, 20_000)}
+    assert len(lp[40]) == len(rows) and all(abs(lp[40][k] - lp[20_000][k]) < 1e-9 for k in lp[40])
+    for kind in (0, 1):
+        assert 0.3 < sum(10.0**v for (k, _), v in lp[40].items() if k == kind) <= 1 + 1e-6
