@@ -88,29 +88,30 @@ def probes(sample: np.ndarray, cents: np.ndarray, k: int, share: float, most: in
 def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, block: int = 4096, sample: int = 8192, recall: float | None = 0.99, per_cell: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of `vectors` by inner product for each row with `is_query`.
 
-    Candidates are all rows but the query's own id; ties go to the smaller vec_id; score is the inner product of
+    Candidates are all rows but the query's own; ties go to the smaller vec_id; score is the inner product of
     the original vectors in double precision. Vectors that are null, empty, all zero or hold null or non-finite
     components take no part, nor do rows with a null id; vectors of another length than the query's are no candidates. Rows
-    that repeat an id with another vector are candidates of their own. Fewer than k candidates: all of them.
+    that repeat an id are queries and candidates of their own. Fewer than k candidates: all of them.
 
     Centroids, and a first bound on each query's k-th score, come from at most `sample` rows; every row is
     indexed. A query meets only its best cells, as many as hold the share `recall` of neighbours on the sample, and more
     while those hold less than 4 k rows; with None it meets all cells. Cells have about `per_cell` rows; larger ones are cut into blocks of
-    about `block` rows, whatever a cell's share of all rows.
+    about `block` rows, whatever a cell's share of all rows. A row goes to its block and nowhere else, a query to all blocks of its cells; a task
+    holds one block and lets the queries stream by.
     """
     spark = vectors.sparkSession
     live = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"), is_query.alias("q")).where(usable("x") & F.col("id").isNotNull())
-    live = settle(live.withColumn("dim", F.size("x")), "vectors")
+    live = settle(live.withColumn("dim", F.size("x")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     counts = {r["dim"]: (r["n"], r["nq"]) for r in live.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("nq")).collect()}
     total = sum(n for n, _ in counts.values())
     rate = -(-total // sample) if total else 1
-    taken = live.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(rate)) == 0).orderBy("id").limit(2 * sample).collect()
+    taken = live.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(rate)) == 0).orderBy("id", "row").limit(2 * sample).collect()
     model = {}
     for dim in counts:
         rows = [r for r in taken if r["dim"] == dim]
         x = np.array([r["x"] for r in rows]).reshape(len(rows), dim)
         cents = centroids(x, max(1, min(1024, len(x) // 4, counts[dim][0] // per_cell))) if len(x) else np.zeros((1, dim))
-        model[dim] = (cents, x, np.array([r["id"] for r in rows], np.int64), probes(x, cents, k, recall) if recall else len(cents))
+        model[dim] = (cents, x, np.array([r["row"] for r in rows], np.int64), probes(x, cents, k, recall) if recall else len(cents))
     sent = spark.sparkContext.broadcast(model)
 
     def index(batches):
@@ -122,10 +123,10 @@ def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_
                 turn = turns.setdefault(dim, rotation(dim))
                 own = ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
                 codes, norm, align = encode(x, c[own], turn)
-                out.append(rows[["id", "x", "dim", "q"]].assign(cell=own.astype(np.int32), code=list(codes.view(np.int64)), norm=norm, align=align))
+                out.append(rows[["row", "id", "x", "dim", "q"]].assign(cell=own.astype(np.int32), code=list(codes.view(np.int64)), norm=norm, align=align))
             yield pd.concat(out)
 
-    indexed = settle(live.mapInPandas(index, "id long, x array<double>, dim int, q boolean, cell int, code array<long>, norm double, align double"), "indexed")
+    indexed = settle(live.mapInPandas(index, "row long, id long, x array<double>, dim int, q boolean, cell int, code array<long>, norm double, align double"), "indexed")
     held = {(r["dim"], r["cell"]): r["n"] for r in indexed.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}  # as many as there are cells
     sizes = {dim: np.array([held.get((dim, c), 0) for c in range(len(model[dim][0]))]) for dim in counts}
 
@@ -133,43 +134,55 @@ def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_
         for pdf in batches:
             low, where_to = np.full(len(pdf), -np.inf), np.empty(len(pdf), object)
             for dim, where in pdf.groupby("dim", sort=False).indices.items():
-                cents, x, ids, m = sent.value[dim]
+                cents, x, known, m = sent.value[dim]
                 q = np.stack(pdf["x"].iloc[where])
                 if len(x) > k:
                     s = q @ x.T
-                    s[pdf["id"].to_numpy()[where][:, None] == ids[None, :]] = -np.inf
+                    s[pdf["row"].to_numpy()[where][:, None] == known[None, :]] = -np.inf
                     low[where] = np.partition(s, -k, axis=1)[:, -k]
                 order = np.argsort(-(q @ cents.T), axis=1, kind="stable")
                 enough = (np.cumsum(sizes[dim][order], axis=1) < 4 * k).sum(1) + 1
                 for i, cells, n in zip(where, order, enough):
                     where_to[i] = cells[: max(m, n)].astype(np.int32)
-            yield pdf[["id", "x", "dim"]].assign(low=low, cells=where_to)
+            yield pdf[["row", "id", "x", "dim"]].assign(low=low, cells=where_to)
 
     blocks = spark.createDataFrame([(d, c, max(1, -(-n // block))) for (d, c), n in held.items()], "dim int, cell int, blocks int")
-    asked = indexed.where("q").select("id", "x", "dim").mapInPandas(bound, "id long, x array<double>, dim int, low double, cells array<int>")
-    asks = max([1, *(-(-int(nq or 0) // block) for _, nq in counts.values())])
-    ask = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(asks)).cast("int")
-    cols = [("id", "long"), ("x", "array<double>"), ("code", "array<long>"), ("norm", "double"), ("align", "double"), ("low", "double")]
-    blank = lambda df: df.select("dim", "cell", "part", "ask", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in cols])
-    part = F.pmod(F.xxhash64("id", F.lit(4)), F.col("blocks").cast("long")).cast("int")
-    table_side = indexed.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("part", part).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
-    query_side = asked.withColumn("cell", F.explode("cells")).join(F.broadcast(blocks), ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("ask", ask)
-    met = blank(table_side).unionByName(blank(query_side))
-    best = met.groupBy("dim", "cell", "part", "ask").applyInPandas(lambda pdf: _search(pdf, sent.value, k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = indexed.where("q").select("row", "id", "x", "dim").mapInPandas(bound, "row long, id long, x array<double>, dim int, low double, cells array<int>")
+    cols = [("row", "long"), ("id", "long"), ("x", "array<double>"), ("code", "array<long>"), ("norm", "double"), ("align", "double"), ("low", "double")]
+    blank = lambda df: df.select("dim", "cell", "part", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in cols])
+    part = F.pmod(F.xxhash64("row", F.lit(4)), F.col("blocks").cast("long")).cast("int")
+    table_side = indexed.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("part", part)
+    query_side = asked.withColumn("cell", F.explode("cells")).join(F.broadcast(blocks), ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["dim", "cell", "part"]
+    met = blank(table_side).unionByName(blank(query_side)).repartition(*key).sortWithinPartitions(*key, F.col("code").isNull())
+    best = met.mapInPandas(lambda batches: _stream(batches, sent.value, k), "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(pdf: pd.DataFrame, model: dict, k: int) -> pd.DataFrame:
-    """The k best of a block of a cell's vectors for each query of a block of queries."""
-    asks = pdf[pdf["code"].isna()].reset_index(drop=True)
-    rows = pdf[pdf["code"].notna()]
-    out_q, out_v, out_s = [], [], []
+def _stream(batches, model: dict, k: int):
+    """The k best of each block for each query that comes to it. Rows are sorted by block, candidates before queries."""
+    key, held, block = None, [], None
+    for pdf in batches:
+        for own_key, own in pdf.groupby(["dim", "cell", "part"], sort=False):
+            if own_key != key:
+                key, held, block = own_key, [], None
+            asks = own["code"].isna().to_numpy()
+            if not asks.all():
+                held.append(own[~asks])
+            if asks.any() and held:
+                block = pd.concat(held) if block is None else block
+                yield _search(own[asks].reset_index(drop=True), block, model, k)
+
+
+def _search(asks: pd.DataFrame, rows: pd.DataFrame, model: dict, k: int) -> pd.DataFrame:
+    """The k best of a block of a cell's vectors for each of some queries."""
+    out_r, out_q, out_v, out_s = [], [], [], []
     if len(asks) and len(rows):
-        dim = int(pdf["dim"].iloc[0])
-        turn, cent = rotation(dim), model[dim][0][int(pdf["cell"].iloc[0])]
+        dim = int(rows["dim"].iloc[0])
+        turn, cent = rotation(dim), model[dim][0][int(rows["cell"].iloc[0])]
         size = turn.shape[1]
-        q, x, ids = np.stack(asks["x"]), np.stack(rows["x"]), rows["id"].to_numpy()
+        q, x, ids, known = np.stack(asks["x"]), np.stack(rows["x"]), rows["id"].to_numpy(), rows["row"].to_numpy()
         codes, norm, align = np.stack(rows["code"]).view(np.uint64), rows["norm"].to_numpy(), rows["align"].to_numpy()
         base = q @ cent
         length = np.sqrt((q * q).sum(1))
@@ -183,9 +196,9 @@ def _search(pdf: pd.DataFrame, model: dict, k: int) -> pd.DataFrame:
             floor = asks["low"].to_numpy()[part].copy()
             if guess.shape[1] > k:
                 floor = np.maximum(floor, np.partition(guess - reach, -k - 1, axis=1)[:, -k - 1])
-            for i, own in enumerate(asks["id"].to_numpy()[part]):
+            for i, own in enumerate(asks["row"].to_numpy()[part]):
                 found = np.flatnonzero(guess[i] + reach[i] >= floor[i])
-                found = found[ids[found] != own]
+                found = found[known[found] != own]
                 # summed in one fixed order, whatever else is ranked along with it
                 score = np.einsum("ij,j->i", x[found], q[at + i])
                 least = asks["low"].iloc[at + i]  # what k sampled rows reach, less the rounding of another order of sums
@@ -196,9 +209,9 @@ def _search(pdf: pd.DataFrame, model: dict, k: int) -> pd.DataFrame:
                     best = score >= np.partition(score, -k)[-k]
                     found, score = found[best], score[best]
                 best = np.lexsort((ids[found], -score))[:k]
-                out_q.append(np.full(len(best), own)), out_v.append(ids[found[best]]), out_s.append(score[best])
+                out_r.append(np.full(len(best), own)), out_q.append(np.full(len(best), asks["id"].iloc[at + i])), out_v.append(ids[found[best]]), out_s.append(score[best])
     join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    return pd.DataFrame({"query_id": join(out_q, np.int64), "vec_id": join(out_v, np.int64), "score": join(out_s, np.float64)})
+    return pd.DataFrame({"row": join(out_r, np.int64), "query_id": join(out_q, np.int64), "vec_id": join(out_v, np.int64), "score": join(out_s, np.float64)})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
