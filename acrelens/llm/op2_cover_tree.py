@@ -179,21 +179,48 @@ def _with_cells(rows: DataFrame, pivots: dict) -> DataFrame:
 
 
 def _to_subcells(batches):
-    """Give each row the nearest pivot of its cell's own (sub 0 and the cell's pivot where there are none), near, the distance to it, and its unit vector."""
+    """Give each row the nearest pivot of its cell's own (sub 0 and the cell's pivot where there are none), near, the distance to it, and its unit vector.
+
+    Rows are sorted by group, cell and part, a cell's pivots before its rows, so a task holds one cell's pivots at a time.
+    """
+    key, held, ready = None, [], None
     for pdf in batches:
-        sub, near, centre = np.zeros(len(pdf), np.int32), pdf["far"].to_numpy().copy(), pdf["top"].to_numpy(object).copy()
-        for _, at in pdf.groupby(["group", "cell"], sort=False).indices.items():
-            pivots = pdf["pivots"].iloc[at[0]]
-            if pivots is None or not len(pivots):
-                continue
-            pivots = sorted(pivots, key=lambda p: p["sub"])
-            p, number = unit([r["embedding"] for r in pivots]), np.array([r["sub"] for r in pivots], np.int32)
-            d = np.sqrt(np.maximum(0, 2 - 2 * unit(pdf["embedding"].iloc[at]) @ p.T))
-            best = d.argmin(1)
-            sub[at], near[at] = number[best], d.min(1)
-            for i, j in zip(at, best):
-                centre[i] = p[j]
-        yield pdf[["id", "n", "group", "embedding", "cell"]].assign(sub=sub, near=near, centre=centre)
+        for own_key, own in pdf.groupby(["group", "cell", "part"], sort=False):
+            if own_key != key:
+                key, held, ready = own_key, [], None
+            pivot = own["pivot"].to_numpy(bool)
+            if pivot.any():
+                held.append(own[pivot])
+            rows = own[~pivot]
+            if ready is None and len(rows) and held:
+                every = pd.concat(held).sort_values("sub")
+                ready = every["sub"].to_numpy(np.int32), unit(every["embedding"])
+            for at in range(0, len(rows), 1024):
+                some = rows.iloc[at : at + 1024]
+                sub, near, centre = np.zeros(len(some), np.int32), some["far"].to_numpy().copy(), some["top"].to_numpy(object).copy()
+                if ready is not None:
+                    d = np.sqrt(np.maximum(0, 2 - 2 * unit(some["embedding"]) @ ready[1].T))
+                    best = d.argmin(1)
+                    sub, near = ready[0][best], d.min(1)
+                    for i, j in enumerate(best):
+                        centre[i] = ready[1][j]
+                yield some[["id", "n", "group", "embedding", "cell"]].assign(sub=sub, near=near, centre=centre)
+
+
+def _subcells(celled: DataFrame, cells: DataFrame, block: int, most_pivots: int) -> DataFrame:
+    """celled with sub, near and centre. Cells of over a block have pivots of their own, about one in `block` rows, which are sent once to each part of a
+    cell of 16 blocks; the others have one subcell."""
+    plain = celled.join(cells.where("subs = 1").select("group", "cell"), ["group", "cell"])
+    plain = plain.select("id", "n", "group", "embedding", "cell", F.lit(0).alias("sub"), F.col("far").alias("near"), F.col("top").alias("centre"))
+    parts = F.ceil(F.col("subs") / 16).cast("int")
+    large = celled.join(cells.where("subs > 1").select("group", "cell", parts.alias("parts")), ["group", "cell"])
+    order = Window.partitionBy("group", "cell").orderBy("id")
+    inner = large.where(F.pmod(F.xxhash64("id", "group", F.lit(13)), F.lit(block)) == 0).withColumn("sub", F.row_number().over(order)).where(F.col("sub") <= most_pivots)
+    inner = inner.select("group", "cell", "embedding", "sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("pivot"))
+    rows = large.withColumn("part", F.pmod(F.xxhash64("id", F.lit(17)), F.col("parts").cast("long")).cast("int")).withColumn("pivot", F.lit(False)).drop("parts")
+    key = ["group", "cell", "part"]
+    met = rows.unionByName(inner, allowMissingColumns=True).repartition(*key).sortWithinPartitions(*key, ~F.col("pivot"))
+    return plain.unionByName(met.mapInPandas(_to_subcells, "id long, n long, group string, embedding array<double>, cell long, sub int, near double, centre array<double>"))
 
 
 def _near_cells(spark: SparkSession, pivots: dict, radius: dict, tau: float) -> DataFrame:
@@ -220,8 +247,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     Vectors with a null label, null, empty or all zero ones, and those with null or non-finite components
     link with nothing; so do vectors of different lengths. Equal vectors of a label are one node with a weight:
-    copies link with each other but are never paired one by one. Extra columns are ignored. An id that occurs
-    in several rows names each of them alike. Rows with a null id link with nothing. About one in `block` vectors is a pivot,
+    copies link with each other but are never paired one by one. Extra columns are ignored. Rows that repeat an id
+    with another vector have links and components of their own, named by the smallest id among their component's rows. Rows with a null id link with nothing. About one in `block` vectors is a pivot,
     `most_pivots` at most; cells of over a block have pivots of their own, as many at most, and what a subcell
     still holds beyond a block (vectors so close that no pivot parts them) is cut into blocks. Every vector is indexed, and
     pruning drops no link.
@@ -231,7 +258,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = rows.withColumn("embedding", F.when(usable("embedding") & F.col("label").isNotNull(), F.transform("embedding", lambda x: x + F.lit(0.0))))
     rows = rows.withColumn("group", F.concat_ws(":", F.size("embedding"), "label"))
     live = rows.where("embedding is not null and id is not null")
-    nodes = settle(live.groupBy("group", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "n", "group", "embedding"), "vectors")
+    # a node is a vector with a number of its own, as its rows' ids may name other vectors too
+    nodes = live.groupBy("group", "embedding").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    nodes = settle(nodes.withColumn("id", F.monotonically_increasing_id()), "vectors")
     total = nodes.count()
     rate = max(block, -(-total // most_pivots))
     picked = nodes.where(F.pmod(F.xxhash64("id", "group"), F.lit(rate)) == 0).select("group", "embedding", "id").orderBy("id").limit(2 * most_pivots).collect()
@@ -240,18 +269,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         groups.setdefault(r["group"], []).append((k, r["embedding"]))
     for g, found in groups.items():
         pivots[g] = (np.array([k for k, _ in found]), unit([v for _, v in found]))
-    celled = settle(_with_cells(nodes, pivots), "cells")
+    celled = settle(_with_cells(nodes.drop("least"), pivots), "cells")
     cells = celled.groupBy("group", "cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius"))
     cells = settle(cells.withColumn("subs", F.ceil(F.col("rows") / block).cast("int")), "sizes")
-    # a second level of pivots inside cells of over a block: about one in `block` rows of the cell, as a table that is joined by cell
     tau = math.sqrt(2 - 2 * cosine)
-    large = celled.join(cells.where("subs > 1").select("group", "cell", "subs"), ["group", "cell"])
-    draw = F.pmod(F.xxhash64("id", "group", F.lit(13)), F.lit(block))
-    order = Window.partitionBy("group", "cell").orderBy("id")
-    inner = large.where(draw == 0).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_pivots).select("group", "cell", F.struct(F.col("k").cast("int").alias("sub"), "embedding").alias("p"))
-    inner = inner.groupBy("group", "cell").agg(F.collect_list("p").alias("pivots"))  # at most most_pivots in a cell
-    subbed = celled.join(inner, ["group", "cell"], "left").mapInPandas(_to_subcells, "id long, n long, group string, embedding array<double>, cell long, sub int, near double, centre array<double>")
-    subbed = settle(subbed, "subcells")
+    subbed = settle(_subcells(celled, cells, block, most_pivots), "subcells")
     subs = subbed.groupBy("group", "cell", "sub").agg(F.count("*").alias("rows"), F.max("near").alias("radius"), F.any_value("centre").alias("centre"))
     subs = settle(subs.withColumn("blocks", F.ceil(F.col("rows") / block).cast("int")), "blocks")
     pairs = settle(_near_cells(spark, pivots, {(r["group"], r["cell"]): r["radius"] for r in cells.where("cell >= 0").collect()}, tau), "near")
@@ -274,8 +296,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = settle(found.groupBy("pair").applyInPandas(lambda pdf: _visit(pdf, cosine), "id long, links long, root long"), "links")
     whole = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     summed = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = nodes.select("id", "group", "embedding", "n").join(summed, "id", "left").join(whole.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("group", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+    named = nodes.join(summed, "id", "left").join(whole.withColumnRenamed("node", "id"), "id", "left").withColumn("own", F.coalesce("component", "id"))
+    firsts = named.groupBy("own").agg(F.min("least").alias("first"))
+    named = named.join(firsts, "own").select("group", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.col("first").alias("component"))
     out = rows.select("id", "group", "embedding").join(named, ["group", "embedding"], "left")
     whose = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), whose.alias("component_id"), F.coalesce(F.col("id") == whose, F.lit(True)).alias("kept"))

@@ -151,6 +151,35 @@ def test_cover_tree(spark, block):
     assert op2_cover_tree.near_duplicates(empty(spark, VECTORS)).count() == 0
 
 
+def test_repeated_ids_of_vectors(spark):
+    """An id with several vectors: links, components and neighbours of each row for itself, and of copies of a row."""
+    rng = np.random.default_rng(11)
+    a, b, c, d = (rng.normal(size=8) for _ in range(4))
+    near = lambda v: (v + 0.01 * rng.normal(size=8)).tolist()
+    rows = [(5, a.tolist(), 1), (7, near(a), 1), (8, near(a), 1), (5, b.tolist(), 1), (3, near(b), 1), (10, c.tolist(), 1), (10, c.tolist(), 1), (15, d.tolist(), 2)]
+    got = op2_cover_tree.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(3, 1, 3, True), (5, 1, 3, False), (5, 2, 5, True), (7, 2, 5, False), (8, 2, 5, False), (10, 1, 10, True), (10, 1, 10, True), (15, 0, 15, True)]
+    found = op4_one_bit_search.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 5 == 0, k=3).collect()
+    want = []
+    for i, (q, v, _) in enumerate(rows):
+        if q % 5 == 0:
+            best = sorted((-float(np.dot(v, w)), p) for j, (p, w, _) in enumerate(rows) if j != i)[:3]
+            want += [(q, k + 1, p, round(-s, 9)) for k, (s, p) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found) == sorted(want) and len(want) == 15
+
+
+def test_large_cells_are_cut(spark):
+    """Blocks so small that cells have pivots of their own, in several parts: the same links as by brute force."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(3, 6))
+    x = centre[rng.choice(3, 700, p=(0.7, 0.2, 0.1))] + 0.15 * rng.normal(size=(700, 6))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.93) & ~np.eye(700, dtype=bool)
+    label = roots(700, zip(*np.nonzero(linked)))
+    got = op2_cover_tree.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], VECTORS), block=8, most_pivots=6).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (int(linked[i].sum()), label[i]) for i in range(700)}
+
+
 @pytest.mark.parametrize("case", range(6))
 def test_dual_traversal(case):
     rng = np.random.default_rng(case)
