@@ -283,8 +283,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     labels = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     parts = max(1, -(-labels.count() // fit_rows))
+    # about fit_rows rows, whatever the table's size
     sample = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(parts)) == 0)
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = settle(rows, "labelled")
     terms = learn_lexicon(rows)
 
@@ -295,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
             yield pd.Series([[dict(zip(("at", "term", "kind", "quoted"), h)) for h in hits(t, automaton, known)] for t in texts], dtype=object)
 
     n_words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
-    matched = settle(rows.select("doc_id", "toxic", n_words.alias("words"), found("text").alias("hits")), "hits")
+    matched = settle(rows.select(F.xxhash64("text").alias("mark"), "toxic", n_words.alias("words"), found("text").alias("hits")), "hits")
     words = {r["toxic"]: r["n"] for r in matched.groupBy("toxic").agg(F.sum("words").alias("n")).collect()}
     each = matched.select("toxic", F.explode("hits").alias("h")).groupBy("h.term", "h.kind", "toxic").agg(F.count("*").alias("n"))
     sums = {(r["term"], r["kind"], r["toxic"]): r["n"] for r in each.collect()}
@@ -303,19 +304,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     weights = learn_weights(sums, (words.get(0, 0), words.get(1, 0)), [terms[t] for t in sorted(terms)])
 
     @F.pandas_udf("array<array<double>>")
-    def shown(ids: pd.Series, toxic: pd.Series, hit_lists: pd.Series) -> pd.Series:
+    def shown(marks: pd.Series, toxic: pd.Series, hit_lists: pd.Series) -> pd.Series:
         out = []
-        for doc_id, marked, own in zip(ids, toxic, hit_lists):
+        for mark, marked, own in zip(marks, toxic, hit_lists):
             own = [(h["at"], h["term"], h["kind"], h["quoted"]) for h in own]
             cases = [own]
             if marked and own:
-                draw = np.random.default_rng(crc32(str(doc_id).encode()))
+                draw = np.random.default_rng(mark & (1 << 63) - 1)
                 few = min(len(own), int(draw.integers(1, 4)))
                 cases.append([own[i] for i in sorted(draw.choice(len(own), few, replace=False))])
             out.append([weigh(c, weights, drift) for c in cases])
         return pd.Series(out, dtype=object)
 
-    got = matched.select("toxic", F.explode(shown("doc_id", "toxic", "hits")).alias("f")).toPandas()
+    got = matched.select("toxic", F.explode(shown("mark", "toxic", "hits")).alias("f")).toPandas()
     for used in (rows, matched):
         discard(used)
     if got["toxic"].nunique() < 2:
