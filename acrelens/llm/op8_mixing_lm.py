@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from acrelens.llm.shared import discard, settle, table
+from acrelens.llm.shared import discard, release, settle, table
 
 KINDS, PROBE = 6, 3  # kinds of text, and words before which a text's kind is 0
 CLASS_ROWS, CLASS_DIMS = 4000, 1024  # sampled training texts that the kinds are fitted on
@@ -659,8 +659,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     buckets = max(1, -(-(blocks.agg(F.sum(F.col("n_words").cast("long"))).first()[0] or 0) // DEALT))
     asked = deal(blocks, buckets)
     pairs = settle(asked.groupBy("bucket").applyInPandas(_gathered, "bucket int, kind int, word binary, n long, c long, lead boolean"), "pairs")
+    release(spark)
     n_all, v = pairs.where("lead and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     priced = price(pairs, count_short(pairs))
+    discard(pairs)
+    release(spark)
     runs = np.zeros(2 * RUNS)
     for r in blocks.select(F.posexplode("runs").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
         runs[r["k"]] = r["n"]
@@ -668,6 +671,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     go = np.log10((runs + 0.5) / (runs.sum(1, keepdims=True) + 1)).reshape(-1)
     codes = settle(phrase_codes(blocks), "codes")
     match = match_prices(codes)
+    release(spark)
     replies = asked.groupBy("bucket").cogroup(priced.groupBy("bucket")).applyInPandas(_replied, "block long, bucket int, c binary, lp binary")
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "c", "lp")).alias("replies"))  # one for each bucket
     codes = codes.groupBy("block").agg(F.collect_list(F.struct("i", "code", "held")).alias("codes"))  # as many as a block has phrases, at most

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,15 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(hadoop).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of jobs whose results have been written and whose plans nothing holds any more.
+
+    It does so when the driver collects garbage, which a driver with little to do puts off while disks fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a long, b long): rows (node, component), component the smallest node.
 
