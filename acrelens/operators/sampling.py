@@ -63,13 +63,14 @@ def draw_values(df: DataFrame, keys: list[str], value: str, order: list[str], dr
     """`draws` values of each group, with replacement: keys, draw (from 1), value.
 
     Long form, without gathering a group: each row has its number within the group, each draw an index from a hash, and
-    they meet in a join. `order` has to order a group's rows.
+    they meet in a join, all draws of a number as one row. `order` has to order a group's rows.
     """
     numbered = numbered_rows(df, keys, order).select(*keys, F.col(value).alias("value"), "at")
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     wanted = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     wanted = wanted.withColumn("at", (hash_int(F.lit(salt), *[F.col(k) for k in keys], F.col("draw")) % F.col("n") + 1).cast("int"))
-    return wanted.join(numbered, [*keys, "at"]).select(*keys, "draw", "value")
+    drawn = wanted.groupBy(*keys, "at").agg(F.collect_list("draw").alias("_draws"))  # at most `draws`
+    return drawn.join(numbered, [*keys, "at"]).select(*keys, F.explode("_draws").alias("draw"), "value")
 
 
 def merge_samples(a: Column, b: Column, n_a: Column, n_b: Column, key: Column, draws: int = 1000) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from acrelens.config import ATTRIBUTES, BUSINESS_FIELDS, MONTHS
@@ -246,12 +247,15 @@ _SLICE = [f"{a}Mean{m}" for a in ("rhx", "tmax") for m in range(1, 7)] + ["yield
 
 def _fields(spark, d, also: tuple = ()):
     """All 484 fields of the frame as rows (geohash, year, field, value), long from the start: 8 attributes, 12 months, 5 statistics, 4 of yields."""
-    long = long_frame(spark, d)
-    known = long.where(F.col("attr").isin(*ATTRIBUTES.values()) & F.col("month").between(MONTHS[0], MONTHS[-1]))
-    stats = F.explode(F.array(*[F.struct(F.concat("attr", F.lit(c.capitalize()), F.col("month").cast("string")).alias("field"), F.col(f"c_{c}").cast("double").alias("value")) for c in frame.STATS]))
-    rows = long.select("geohash", "year", *_YIELDS, *also).distinct()
-    rest = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in (*_YIELDS, *also)]))
-    return known.select("geohash", "year", stats.alias("f")).unionByName(rows.select("geohash", "year", rest.alias("f"))).select("geohash", "year", "f.*")
+    own = Window.partitionBy("geohash", "year").orderBy("attr", "month")  # as the frame is already dealt
+    long = long_frame(spark, d).withColumn("_first", F.row_number().over(own) == 1)
+    entry = lambda name, value: F.struct(name.alias("field"), value.cast("double").alias("value"))
+    none = F.array().cast("array<struct<field: string, value: double>>")
+    stats = F.array(*[entry(F.concat("attr", F.lit(c.capitalize()), F.col("month").cast("string")), F.col(f"c_{c}")) for c in frame.STATS])
+    rest = F.array(*[entry(F.lit(c), F.col(c)) for c in (*_YIELDS, *also)])
+    known = F.col("attr").isin(*ATTRIBUTES.values()) & F.col("month").between(MONTHS[0], MONTHS[-1])
+    fields = F.concat(F.when(known, stats).otherwise(none), F.when(F.col("_first"), rest).otherwise(none))
+    return long.select("geohash", "year", F.explode(fields).alias("f")).select("geohash", "year", "f.*")
 
 
 def _sliced(df):
