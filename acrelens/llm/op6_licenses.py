@@ -74,19 +74,30 @@ def band_count(n: int, contained: float = CONTAINED, miss: float = MISS) -> int:
 
 
 class Index:
-    """Templates by class, with the minima of their bands."""
+    """Templates by class, and for each class a table from (band, minimum) to the templates that have it.
+
+    A table's marks, by the low bits of band and minimum, tell for nearly all windows that no template has theirs.
+    """
 
     def __init__(self, templates: dict[str, str], width: int = WIDTH, contained: float = CONTAINED, miss: float = MISS):
         rng = np.random.default_rng(12)
         self.width, self.contained = width, contained
         self.templates: dict[int, list[tuple]] = {}
+        self.tables: dict[int, dict[tuple[int, int], list[int]]] = {}
+        self.marks: dict[int, np.ndarray] = {}
         found = {name: np.unique(shingle_hashes(words_of(text), width)) for name, text in templates.items()}
         found = {name: h for name, h in found.items() if len(h)}
         most = max((band_count(len(h), contained, miss) for h in found.values()), default=1)
         self.factors = rng.integers(0, 1 << 31, most, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         for name, h in sorted(found.items()):
-            bands = band_count(len(h), contained, miss)
-            self.templates.setdefault(class_of(len(h)), []).append((name, h, self.minima(h).min(1)[:bands]))
+            bands, size = band_count(len(h), contained, miss), class_of(len(h))
+            own = self.templates.setdefault(size, [])
+            table, marks = self.tables.setdefault(size, {}), self.marks.setdefault(size, np.zeros(1 << 16, bool))
+            values = self.minima(h).min(1)[:bands]
+            for band, value in enumerate(values.tolist()):
+                table.setdefault((band, value), []).append(len(own))
+            marks[self.mark(values[:, None])[:, 0]] = True
+            own.append((name, h, bands))
 
     def minima(self, hashes: np.ndarray) -> np.ndarray:
         """Each band's value of each shingle."""
@@ -97,6 +108,11 @@ class Index:
             mixed *= np.uint32(0x2C1B3C6D)
         return mixed
 
+    def mark(self, values: np.ndarray) -> np.ndarray:
+        """16 bits of each band's (row's) values."""
+        low = np.ascontiguousarray(values, "<u4").view("<u2")[:, ::2]
+        return low + (np.arange(len(values)) * 40503 & 0xFFFF).astype(np.uint16)[:, None]
+
     def candidates(self, hashes: np.ndarray) -> Iterator[tuple]:
         """(name, shingles, first, last) of templates and windows of the hashes that share a band."""
         values = self.minima(hashes)
@@ -111,10 +127,13 @@ class Index:
             if not own:
                 continue
             pad = np.concatenate([values, values[:, -1:], values[:, -1:]], 1)
+            pad = pad[: max(bands for _, _, bands in own)]
             windows = np.minimum(np.minimum(pad[:, :-2], pad[:, 1:-1]), pad[:, 2:])
-            for name, h, m in own:
-                for j in np.flatnonzero((windows[: len(m)] == m[:, None]).any(0)).tolist():
-                    yield name, h, j * half, min(len(hashes), (j + 3) * half)
+            band, place = np.nonzero(self.marks[1 << w].take(self.mark(windows)))
+            table = self.tables[1 << w]
+            hits = {(t, j) for b, j, v in zip(band.tolist(), place.tolist(), windows[band, place].tolist()) for t in table.get((b, v), ())}
+            for t, j in sorted(hits):
+                yield own[t][0], own[t][1], j * half, min(len(hashes), (j + 3) * half)
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first word, words, containment) of each match, in the order of their places.
