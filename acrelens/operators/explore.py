@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acrelens.functions.scalar import change_category, is_loss, series_year
+from acrelens.functions.scalar import change_category, finite, is_loss, series_year
 
 
 def select_records(df: DataFrame, scenario: str, threshold_label: str, year: int | None = None) -> DataFrame:
@@ -90,5 +92,11 @@ def scheme_claims(rates: DataFrame, using_std: bool, threshold: float = 0.25) ->
     return rows.select("year", "condition", F.col("claimsRateStd" if using_std else "claimsRate").alias("claims"), F.col("thresholdStd" if using_std else "threshold").alias("level"))
 
 
+def valid_points(df: DataFrame, columns: list[str], significant_only: bool = False) -> DataFrame:
+    """Points with all of the columns finite; with `significant_only` none whose category says that nothing is known or changes."""
+    out = df.where(reduce(Column.__and__, [finite(F.col(c)).isNotNull() for c in columns]))
+    return out.where(~F.col("category").isin("no significant change", "unknown")) if significant_only else out
+
+
 def relabel_historic(df: DataFrame) -> DataFrame:
     return df.withColumn("set", series_year(F.col("series")))

@@ -208,6 +208,15 @@ def explorer_selection(spark, d):
     return explore.categorise(out, F.col("predictedMean"), alpha=0.10, years_per_record=1).withColumnRenamed("category", "byYield")
 
 
+@query("geohash condition num! std! predictedMean! p! category", _SELECTED + f", ca AS (SELECT *, {_CATEGORY('m', '1e-1::DOUBLE')} AS category FROM po)\n--\nSELECT geohash, condition, num, std, m AS \"predictedMean\", p, category FROM ca WHERE std IS NOT NULL AND m IS NOT NULL AND category IN ('increase', 'decrease')")
+def significant_points(spark, d):
+    """Of the selected records the complete ones whose yield changes significantly at the 10 % level over one year."""
+    rows = paired(spark, d).withColumn("loss", scalar.loss_label(F.col("lossThreshold"))).withColumn("std", F.abs("predictedMean") / 3 + 0.1)
+    pooled = explore.pool_records(explore.select_records(rows, "2030", "25% loss"))
+    out = explore.categorise(pooled, F.col("predictedMean"), alpha=0.10, years_per_record=1)
+    return explore.valid_points(out, ["num", "std", "predictedMean"], significant_only=True)
+
+
 _ALL_ATTRS = "SELECT CAST(l_suppkey % 7 AS STRING) AS geohash, CASE CAST(l_partkey % 8 AS INT) " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(ATTRIBUTES.values())) + " END AS attr, CASE WHEN l_linestatus = 'F' THEN 'observations' ELSE '2050_SSP245' END AS condition, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, l_quantity AS value FROM {lineitem}"
 
 
