@@ -41,7 +41,7 @@ BLOCK = 500_000  # tokens of a block
 DEALT = 400_000  # distinct words of blocks that are looked up together
 PAGE = 20_000  # neighbouring (kind, word) that are spelled together
 LEARN, STEP = 8, 500  # one in LEARN words, or fewer, teaches the mixer's weights, STEP words at a time
-FIT_WORDS, FIT_PAGES = 16_000, 64  # about so many words teach it at most, from about so many pages
+FIT_WORDS, FIT_PAGES = 16_000, 48  # about so many words teach it at most, from about so many pages
 PHRASE = 12  # words of a phrase, as a mean
 LIMIT = 12.0  # of stretched probabilities
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -414,6 +414,13 @@ class Mixer:
         """Stretched probability of a one."""
         return np.clip(np.einsum("ij,ij->i", inputs, self.weights[which]), -LIMIT, LIMIT)
 
+    def mixed_columns(self, columns: list[np.ndarray], which: np.ndarray) -> np.ndarray:
+        """The same of inputs that stand in columns."""
+        x = np.zeros(len(which))
+        for column, weights in zip(columns, np.ascontiguousarray(self.weights.T)):
+            x += column * weights.take(which)
+        return np.clip(x, -LIMIT, LIMIT, out=x)
+
     def refine(self, x: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Probability of a one, by half from the map."""
         z = (x + LIMIT) * 2
@@ -476,8 +483,8 @@ class Spelling:
         start, sizes = self.flat["start"][words], self.flat["sizes"][words]
         return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start, sizes)
 
-    def inputs(self, at: np.ndarray, bit: int, less: float):
-        """(stretched inputs, weights' set, map's row, bit) of a bit of some bytes, `less` of its own occurrences left out."""
+    def inputs(self, at: np.ndarray | slice, bit: int, less: float):
+        """(columns of stretched inputs, weights' set, map's row, bit) of a bit of some bytes, `less` of its own occurrences left out."""
         flat = {"byte": self.flat["byte"][at], "contexts": [c[at] for c in self.flat["contexts"]]}
         b, found, seen = bits(flat, bit), [], []
         for which in range(len(TABLES) + 1):
@@ -490,12 +497,12 @@ class Spelling:
                 zeros, ones = np.maximum(zeros - less * (1 - b), 0), np.maximum(ones - less * b, 0)
             st, k = stretched(zeros, ones)
             found.append(st), seen.append(k)
-        return np.stack(found, 1).astype(float), gate(seen), map_row(seen[-1], self.flat["at"][at]), b
+        return found, gate(seen), map_row(seen[-1], self.flat["at"][at]), b
 
     def examples(self, chosen: np.ndarray) -> list[bytes]:
         """Of each of some training words the inputs, weights' set, map's row and value of all its bits, predicted from histories without one occurrence of itself."""
         at, sizes = self.part(chosen), self.flat["sizes"][chosen]
-        each = [self.inputs(at, bit, 1.0) for bit in range(8)]
+        each = [(np.stack(columns, 1), *rest) for columns, *rest in (self.inputs(at, bit, 1.0) for bit in range(8))]
         inputs, which, row, b = (np.stack([e[k] for e in each], 1) for k in range(4))
         made = np.zeros(len(at) * 8, EXAMPLE)
         made["inputs"], made["which"], made["row"], made["bit"] = inputs.reshape(len(made), -1), which.reshape(-1), row.reshape(-1), b.reshape(-1)
@@ -505,14 +512,14 @@ class Spelling:
         """log10 probability of each word's bits, its ending space included."""
         out = np.zeros(len(self.n))
         for i in range(0, len(out), 5000):
-            own = np.arange(i, min(i + 5000, len(out)))
-            at = self.part(own)
-            total = np.zeros(len(at))
+            end = min(i + 5000, len(out))
+            at = slice(self.flat["start"][i], self.flat["start"][end - 1] + self.flat["sizes"][end - 1])
+            chance = np.ones(at.stop - at.start)  # of a byte's eight bits, at least 1e-48
             for bit in range(8):
-                inputs, which, row, b = self.inputs(at, bit, 0.0)
-                p = mixer.refine(mixer.mixed(inputs, which), row)
-                total += np.log10(np.where(b == 1, p, 1 - p))
-            out[own] = np.bincount(self.flat["of"][at] - i, weights=total, minlength=len(own))
+                columns, which, row, b = self.inputs(at, bit, 0.0)
+                p = mixer.refine(mixer.mixed_columns(columns, which), row)
+                chance *= np.where(b == 1, p, 1 - p)
+            out[i:end] = np.bincount(self.flat["of"][at] - i, weights=np.log10(chance), minlength=end - i)
         return out
 
 
