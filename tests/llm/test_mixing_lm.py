@@ -234,3 +234,30 @@ def test_one_mixer_for_all_pages(spark):
     assert len(lp[40]) == len(rows) and all(abs(lp[40][k] - lp[20_000][k]) < 1e-9 for k in lp[40])
     for kind in (0, 1):
         assert 0.3 < sum(10.0**v for (k, _), v in lp[40].items() if k == kind) <= 1 + 1e-6
+
+
+def test_every_training_word_teaches_the_mixer():
+    """What a page counts for the mixer are the bits of all its training words, each as often as it occurs."""
+    rng = np.random.default_rng(3)
+    words = {bytes(rng.choice(list(b"abcdef"), rng.integers(1, 6)).astype(np.uint8)) for _ in range(3000)}
+    rows = [(k, w, int(rng.integers(0, 4))) for w in sorted(words) for k in (0, 1)]
+    own, spelling = spelling_of(rows)
+    page = pd.DataFrame([(0, k, w, n) for k, w, n in rows], columns=["bucket", "kind", "word", "n"])
+    cells = lm.teach_page(page, pd.DataFrame(), spelling.short)
+    assert cells["n"].sum() == 8 * sum((len(w) + 1) * n for _, w, n in own)
+    each = lm.Mixer()
+    for (_, _, n), x in zip(own, spelling.examples(np.arange(len(own)))):
+        if n:
+            x = np.frombuffer(x, lm.EXAMPLE)
+            each.learn(x["inputs"], x["which"], x["row"], x["bit"], np.full(len(x), float(n)))
+    want = each.cells()
+    assert (want["cell"].to_numpy() == cells["cell"].to_numpy()).all() and np.allclose(want[lm.SUMS], cells[lm.SUMS])
+
+
+def test_kinds_are_fitted_to_all_texts(spark):
+    """Texts of which a sample of 4,000 holds none or a few shift the kinds as the rest does."""
+    rows = [(i, "ba bab abba baba " * 3 if i % 9 else "xyx yxxy xyxy " * 3) for i in range(9000)]
+    kinds = lm.fit_kinds(lm.text_vectors(spark.createDataFrame(rows, "id long, text string").repartition(9)))
+    mass = np.exp(kinds[:, -1])
+    strange = kinds[:, :-1][:, lm._pairs([b"xyx"])].sum(1) > kinds[:, :-1][:, lm._pairs([b"aba"])].sum(1)
+    assert abs(mass[strange].sum() - 1 / 9) < 2e-3 and abs(mass.sum() - 1) < 1e-6
