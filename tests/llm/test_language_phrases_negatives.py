@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,14 @@ def test_negatives_match_brute_force(spark, block, monkeypatch):
     got, want = run(table), plain_negatives(rows, 5, 5)
     assert got == want and len(got) > 100
     assert run(table.where("false")) == [] and run(table.where("vec_id = 1")) == []
+
+
+def test_only_keys_that_occur_often_enough_are_spelled():
+    """What a summary lets through although all blocks together have it too seldom goes back to no block; what is frequent goes to all that hold it."""
+    from acrelens.llm import op12_collocations as op12
+
+    blocks = [(np.arange(1, 101), np.ones(100)), (np.array([500, 600]), np.array([29, 15])), (np.array([600, 700]), np.array([15, 1]))]
+    rows = [(b, int(c.sum()), op12.pack_keys(k.astype(np.uint64)), op12.pack(c.astype(np.int64), 4)) for b, (k, c) in enumerate(blocks)]
+    assert 500 in op12.survivors(iter([(k.astype(np.uint64), c.astype(np.int64)) for k, c in blocks]), sum(r[1] for r in rows), 30)
+    out = op12._replies(30)(pd.DataFrame(rows, columns=["block", "mass", "keys", "counts"]))
+    assert {b: op12.unpack_keys(k).tolist() for b, k in zip(out["block"], out["keys"])} == {1: [600], 2: [600]}
