@@ -261,3 +261,18 @@ def test_kinds_are_fitted_to_all_texts(spark):
     mass = np.exp(kinds[:, -1])
     strange = kinds[:, :-1][:, lm._pairs([b"xyx"])].sum(1) > kinds[:, :-1][:, lm._pairs([b"aba"])].sum(1)
     assert abs(mass[strange].sum() - 1 / 9) < 2e-3 and abs(mass.sum() - 1) < 1e-6
+
+
+def test_phrases_are_foretold_alike_however_texts_are_blocked(spark, monkeypatch):
+    """A held-out text's phrases are foretold by a training text that alone has them, also where one block holds both."""
+    monkeypatch.setattr(lm, "fit_kinds", lambda x: np.zeros((lm.KINDS, lm.CLASS_DIMS + 1)))
+    rng = np.random.default_rng(6)
+    apart = [i for i in range(400) if crc32(str(i).encode()) % 7 == 2]
+    taught = [i for i in range(400) if i not in apart]
+    rows = [(i, prose(rng, 60)) for i in taught[:40]]
+    rows += [(i, t) for i, (_, t) in zip(apart, rows[:10])]  # each pair of phrases once in training texts, once held out
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_score(rows, [i in apart for i, _ in rows])
+    for placed in (docs.coalesce(1), docs.repartition(9)):  # a block for each part
+        got = {r["doc_id"]: r["score"] for r in lm.score(placed).collect()}
+        assert [got[i] for i, _ in rows] == pytest.approx(want, abs=1e-3)
