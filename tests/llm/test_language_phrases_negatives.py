@@ -223,3 +223,20 @@ def test_only_keys_that_occur_often_enough_are_spelled():
     assert 500 in op12.survivors(iter([(k.astype(np.uint64), c.astype(np.int64)) for k, c in blocks]), sum(r[1] for r in rows), 30)
     out = op12._replies(30)(pd.DataFrame(rows, columns=["block", "mass", "keys", "counts"]))
     assert {b: op12.unpack_keys(k).tolist() for b, k in zip(out["block"], out["keys"])} == {1: [600], 2: [600]}
+
+
+def test_blocks_of_a_task_count_a_phrase_once():
+    """However many blocks of a language a task reads, it counts each phrase once; the lists of several tasks add up by words."""
+    pieces = [[b"red", b"fox", col.GAP, b"red", b"fox"], [b"a", b"red", b"fox"], [b"fox", b"red", b"fox", b"fox"]]
+    rows = []
+    for lang, tokens in zip(("en", "en", "fr"), pieces):
+        ids, words = col.numbered(tokens)
+        rows.append((lang, b" ".join(words), col.pack(ids, 4), [col.pack_keys(np.unique(col.phrase_keys(lang, words, ids, 2)[0]))]))
+    pdf = pd.DataFrame(rows, columns=["lang", "words", "ids", "keys"])
+    got = pd.concat(col._counted(2)(iter([pdf[:1], pdf[1:]])))
+    counts = dict(zip(zip(got["lang"], got["phrase"]), zip(got["size"], got["a"])))
+    assert len(got) == len(counts) == 10
+    assert counts["en", "red fox"] == (2, 3) and counts["fr", "fox"] == (1, 3) and counts["en", "a"] == (1, 1)
+    lists = pd.concat([*col._listed(2, 3)(iter([pdf[:1]])), *col._listed(2, 3)(iter([pdf[1:]]))])
+    found = pd.concat([col._frequent(3)(own) for _, own in lists.groupby(["part", "lang"])])
+    assert set(zip(found["lang"], found["phrase"], found["a"])) == {("en", "red", 3), ("en", "fox", 3), ("en", "red fox", 3), ("fr", "fox", 3)}
