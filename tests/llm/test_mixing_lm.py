@@ -276,3 +276,20 @@ def test_phrases_are_foretold_alike_however_texts_are_blocked(spark, monkeypatch
     for placed in (docs.coalesce(1), docs.repartition(9)):  # a block for each part
         got = {r["doc_id"]: r["score"] for r in lm.score(placed).collect()}
         assert [got[i] for i, _ in rows] == pytest.approx(want, abs=1e-3)
+
+
+def test_tasks_do_not_send_their_texts_to_the_driver(spark):
+    """With many tasks: the results of a stage stay under a limit that the first rows of all tasks together pass."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(200))) for i in range(1600)]
+    vectors = lm.text_vectors(spark.createDataFrame(rows, "id long, text string").repartition(16, "id")).persist()
+    plain = vectors.orderBy(lm.F.xxhash64("at", "x"), "at", "x").limit(4).collect()
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", str(sum(len(r["at"]) + len(r["x"]) for r in plain) * 2))
+    try:
+        few = lm.first_vectors(vectors)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+        vectors.unpersist()
+    assert [(r["at"], r["x"], r["sizes"]) for r in few] == [(r["at"], r["x"], r["sizes"]) for r in plain]
