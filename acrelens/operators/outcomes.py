@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from acrelens.config import BINS
 from acrelens.functions.scalar import bin_of
+from acrelens.operators.sampling import dealt
 
 KINDS = ("predicted", "baseline", "adapted")
 #: Coefficients, from the constant on, of a published rational form of the complementary error function.
@@ -122,10 +123,11 @@ def trial_outcomes(units: DataFrame, keys: list[str], level: str, std_level: str
     std_level (ClaimsStd, LossStd), p of predicted against baseline and pAdapted against adapted, and units, their number. p is exact for
     up to EXACT units without ties, else from the normal approximation.
 
-    A delta is a claim at or below -level; without claims the loss is 0. The units go through once: their deltas
+    A delta is a claim at or below -level; without claims the loss is 0. The units are dealt by key, one row each, and go through once: their deltas
     are counted by value, ranked by running counts, and everything is summed by key. `carry` are columns that a key fixes.
     """
-    own = [*keys, level, std_level, *[c for c in carry if c not in (*keys, level, std_level)]]
+    own = list(dict.fromkeys([*keys, level, std_level, *carry]))
+    units = dealt(units.select(*own, *KINDS), keys)
     each = F.explode(F.array(*[F.struct(F.round(k, 9).alias("d"), F.lit(k).alias("kind")) for k in KINDS])).alias("x")
     counts = units.select(*own, each).groupBy(*own, F.col("x.d").alias("d")).agg(*[F.count_if(F.col("x.kind") == k).alias(k) for k in KINDS])
     window = Window.partitionBy(*own).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)

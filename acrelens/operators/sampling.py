@@ -28,6 +28,15 @@ def random_split(*keys: Column, salt: str = "row") -> Column:
     return F.when(hash_int(F.lit(salt), *keys) % 4 == 0, "test").otherwise("train")
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by key to as many partitions as a shuffle has, for what makes many rows of each or groups by these keys more than once.
+    Small partitions aren't put together, as their rows multiply. Floating keys are left out if there are others, as Spark groups by a
+    normalised form of them, for which it would shuffle again."""
+    kinds = dict(df.dtypes)
+    whole = [k for k in keys if kinds[k] not in ("double", "float")] or keys
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *whole)
+
+
 def numbered_rows(df: DataFrame, keys: list[str], order: list[str], at: str = "at", parts: int = 64) -> DataFrame:
     """Add the number (from 1) of each row within its key. No key is sorted in one task: its rows are parted by a hash of
     the first column of `order`, numbered within the parts, and the parts' sizes give each its first number."""
@@ -115,8 +124,9 @@ def draw_scaled_units(tasks: DataFrame, keys: list[str], observations: str, size
 
 
 def _until_used(tasks: DataFrame, keys: list[str], budget: Column, sizes: Column, least: Column, taken, salt: str) -> DataFrame:
-    """The tasks' rows with unit, unitSize and what it takes of the budget, while the budget lasts."""
-    drawn = tasks.where(budget > 0).withColumn("unit", F.explode(F.sequence(F.lit(1), F.ceil(budget / least).cast("int"))))
+    """The tasks' rows with unit, unitSize and what it takes of the budget, while the budget lasts. Tasks are dealt by key before
+    their units are made, which then stay there."""
+    drawn = dealt(tasks.where(budget > 0), keys).withColumn("unit", F.explode(F.sequence(F.lit(1), F.ceil(budget / least).cast("int"))))
     size = F.get(sizes, (hash_int(F.lit(salt), *[F.col(k) for k in keys], F.col("unit")) % F.size(sizes)).cast("int"))
     drawn = drawn.withColumn("unitSize", size).withColumn("taken", taken(F.col("unitSize")))
     before = F.coalesce(F.sum("taken").over(Window.partitionBy(*keys).orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -23,6 +23,15 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{found}/files/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """`df` written below scratch() and read again, so that its plan runs once whatever uses it."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    again.stored_at = path
+    return again
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table, whatever the store is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

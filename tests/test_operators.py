@@ -1,6 +1,8 @@
 """Operators on hand-made rows with known answers."""
 
+import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,3 +310,51 @@ def test_stored_layouts(spark, tmp_path):
         tables.read_record(spark, f"{tmp_path}/bad", "a int").collect()
     both = tables.union_years([spark.range(1).withColumn("x", F.lit(1)), spark.range(1).withColumn("y", F.lit(2))])
     assert sorted(both.columns) == ["id", "x", "y"] and both.count() == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_stay_with_their_units(spark, monkeypatch):
+    """No draw is shuffled, and a pool in several blocks gives what it gives whole and what a plain version makes of each draw."""
+    rng = random.Random(3)
+    pool_rows = [(rng.gauss(0, 0.1), rng.gauss(0, 0.05)) for _ in range(40)] + [(0.02, None)]
+    pool = trials.residual_pool(spark.createDataFrame(pool_rows, "meanResidual double, stdResidual double"))
+    means, stds = sorted(round(m, 9) for m, _ in pool_rows), sorted(round(s, 9) for _, s in pool_rows if s is not None)
+    rows = [("a", 0.25, u, p, 1.5, o, om, 0.2, -0.1, 0.3) for u, p, o, om in ((1, 1, "always", 0.1), (2, 7, "never", 0.1), (3, 3, "negative", -0.2), (4, 0, "always", 0.1))] + [("b", 0.15, 1, 40, 1.0, "always", 0.0, 0.1, 0.2, None)]
+    units = spark.createDataFrame(rows, "k string, level double, unit int, pixels int, stdMult double, offsetBaseline string, originalYieldMean double, originalYieldStd double, projectedYieldMean double, projectedYieldStd double")
+
+    def plain(k, level, unit, pixels, mult, offset, om, os_, pm, ps):
+        def draws(kind, n, m, s):
+            for i in range(1, n + 1):
+                w = [int(hashlib.md5(f"trial|{k}|{level}|{unit}|{kind}|{i}".encode()).hexdigest()[8 * j : 8 * j + 8], 16) for j in range(4)]
+                r, turn = math.sqrt(-2 * math.log((w[0] + 0.5) / 2**32)), (w[1] + 0.5) / 2**32 * 2 * math.pi
+                m_, s_ = m - means[w[2] % len(means)], s * mult - stds[w[3] % len(stds)]
+                yield m_ + s_ * r * math.cos(turn), m_ + s_ + s_ * r * math.sin(turn)
+
+        pixel = list(draws("pixel", pixels, pm, ps)) if ps is not None else []
+        less = [sum(x for x, _ in draws(kind, 10, om, os_)) / 10 if offset == "always" or offset == "negative" and om < 0 else 0 for kind in ("history", "adaptedHistory")]
+        return [max(-1.0, sum(x[j] for x in pixel) / len(pixel) - less[j]) if pixel else -1.0 for j in (0, 1)]
+
+    want = {(r[0], r[2]): plain(*r) for r in rows}
+    for block, step in ((1 << 22, 200_000), (7, 30)):
+        monkeypatch.setattr(trials, "BLOCK", block)
+        monkeypatch.setattr(trials, "STEP", step)
+        out = trials.simulate_units(units.repartition(2), ["k", "level"], pool)
+        got = {(r["k"], r["unit"]): [r["predicted"], r["adapted"]] for r in out.collect()}
+        assert got.keys() == want.keys() and all(got[u] == pytest.approx(want[u], abs=1e-12) for u in want)
+    plan = plan_of(trials.simulate_units(units.coalesce(1), ["k", "level"], pool))
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_units_are_shuffled_once(spark):
+    """Their tasks are dealt before units are made of them, and outcomes deal a row for each unit, not one for each delta."""
+    sizes = spark.createDataFrame([([3.0, 70.0],)], "unitSizes array<double>")
+    cells = spark.createDataFrame([("a", 0.25, 4, 100.0)], "k string, level double, geohashSimSize int, n double")
+    units = sampling.draw_scaled_units(cells, ["k", "level"], "n", sizes, 10.0)
+    plan = plan_of(units)
+    assert plan.count(" Exchange ") == 1 and plan.index("Generate explode") < plan.index(" Exchange ")
+    deltas = cells.select("k", "level", F.lit(0.1).alias("std"), *[F.rand(k).alias(n) for k, n in enumerate(outcomes.KINDS)])
+    plan = plan_of(outcomes.trial_outcomes(deltas, ["k", "level"], "level", "std"))
+    assert plan.count(" Exchange ") == 1 and plan.index("Generate explode(array(struct") < plan.index(" Exchange ")

@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from acrelens.operators import frame
-from acrelens.plans import training
+from acrelens.plans import results, training
 from acrelens.plans.standins import TABLES, YIELD_PIXELS, view
 
 SMALL = "/root/testdata/sf0.001"
@@ -82,3 +82,8 @@ def test_all_draws_of_yields(spark):
     want = sorted((g, y, i, round(float(v[at(g, y, i) % len(v)]), 5)) for (g, y), v in pools.items() for i in range(1, 1001))
     got = entry.queries()["yield_draws_all"](spark, SMALL).toPandas()
     assert sorted(map(tuple, got.astype({"value": float}).itertuples(index=False))) == want
+
+
+def test_yields_are_summed_up_before_they_are_shuffled(spark):
+    plan = results.relative(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "partial_avg" in plan[plan.rindex(" Exchange ") :] and "Join" not in plan
