@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 from acrelens.operators import frame
 from acrelens.plans import results, training
 from acrelens.plans.standins import TABLES, YIELD_PIXELS, view
+from acrelens.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data here")
@@ -87,3 +88,16 @@ def test_all_draws_of_yields(spark):
 def test_yields_are_summed_up_before_they_are_shuffled(spark):
     plan = results.relative(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "partial_avg" in plan[plan.rindex(" Exchange ") :] and "Join" not in plan
+
+
+def test_simulated_units_are_stored_narrowly_and_go(spark, monkeypatch):
+    seen = {}
+
+    def stored(df, tag, own=tables.stored):
+        out = seen[tag] = own(df, tag)
+        return out
+
+    monkeypatch.setattr(tables, "stored", stored)
+    assert entry.queries()["exported_simulation"](spark, SMALL).count() > 0
+    assert set(seen["units"].columns) == {"label", "series", "geohash", "year", "threshold", "geohashSimSize", "offsetBaseline", "stdLevel", "stdMult", "predicted", "baseline", "adapted"}
+    assert not os.path.exists(seen["units"].stored_at.removeprefix("file://"))
